@@ -16,7 +16,7 @@ BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 
 DAY_MS = "86400000"
 # days since 1970 without a time zone
-ORDER_DAYS = "datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))"
+ORDER_DAYS = "datediff(DAY, DATE '1970-01-01', CAST(o_orderdate AS DATE))"
 
 FIXTURES: dict[str, str] = {}
 
@@ -28,8 +28,8 @@ SELECT 'job-' || CAST(o_orderkey AS STRING) AS id,
   CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'in-progress' ELSE 'error' END AS status,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'np_001' WHEN '2-HIGH' THEN 'schema-generation'
     WHEN '3-MEDIUM' THEN 'Freight Invoice' WHEN '5-LOW' THEN 'legacy-layout' END AS template_name,
-  CASE WHEN o_orderkey % 3 = 0 THEN '[{{"name":"total","type":"number"}}]' END AS schema,
-  CASE WHEN o_orderkey % 4 = 0 THEN '{{"dropIf":["noise"]}}' END AS filter,
+  CASE WHEN o_orderkey % 3 = 0 THEN '["total"]' END AS schema,
+  CASE WHEN o_orderkey % 4 = 0 THEN '["noise"]' END AS filter,
   CASE WHEN o_custkey % 10 = 0 THEN 'system' ELSE 'u' || CAST(o_custkey AS STRING) END AS user_id,
   CAST({ORDER_DAYS} AS BIGINT) * {DAY_MS} + o_orderkey % {DAY_MS} AS created_at,
   CAST(floor(o_totalprice / 10) AS BIGINT) AS conversion_input,
@@ -154,7 +154,7 @@ def _unescape(sql: str) -> str:
 
 def with_fixtures(sql: str) -> str:
     """A DuckDB statement with every fixture it mentions defined in front."""
-    needed: list[str] = []
+    needed: list[str] = []  # in order of definition
 
     def visit(text: str) -> None:
         for name in FIXTURES:
@@ -166,6 +166,7 @@ def with_fixtures(sql: str) -> str:
     ctes = []
     for name in needed:
         body = PLACEHOLDER.sub(r"\1", _unescape(FIXTURES[name])).replace("\x01", "{").replace("\x02", "}")
+        body = body.replace("datediff(DAY,", "datediff('day',")
         ctes.append(f"{name} AS ({body})")
     if not ctes:
         return sql
