@@ -52,11 +52,12 @@ def compare(df, con, sql):
     cols, left = table(df.columns, [tuple(r) for r in df.collect()])
     _, right = table(rel.columns, rel.fetchall())
     if len(left) != len(right):
-        return f"rows: {len(left)} vs {len(right)}; only left {[r for r in left if r not in set(right)][:2]}; only right {[r for r in right if r not in set(left)][:2]}"
+        extra, missing = sorted(set(left) - set(right), key=repr), sorted(set(right) - set(left), key=repr)
+        return f"rows {cols}: {len(left)} vs {len(right)}; only here {extra[:2]}; only there {missing[:2]}"
     for a, b in zip(left, right):
         if a != b:
             return f"values {cols}: {a} vs {b}"[:1500]
-    return f"EMPTY" if not left else None
+    return "EMPTY" if not left else None
 
 
 def main():
