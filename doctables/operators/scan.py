@@ -22,6 +22,15 @@ def page_block(page: Column, size: int = PAGES_PER_BLOCK) -> Column:
     return F.floor(page / F.lit(size)).cast("bigint")
 
 
+def where_once(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on computed columns without computing them a second time inside the filter.
+
+    The optimizer moves a filter below the projection it depends on and repeats the expressions there.
+    A non-deterministic column in the projection stops that; the partition id costs nothing.
+    """
+    return df.withColumn("_part", F.spark_partition_id()).where(condition & (F.col("_part") >= 0)).drop("_part")
+
+
 def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,
                   block: Column, inclusive: bool = True) -> DataFrame:
     """Add ``out``: the last non-null ``value`` up to (or strictly before) each row.
