@@ -145,6 +145,48 @@ FROM (
 ) AS x
 """
 
+def _field(name: str, kind: str, more: str = "", description: str = "Some text") -> str:
+    about = f',"description":"{description}"' if description is not None else ""
+    return f'{{"name":"{name}","type":"{kind}"{about}{more}}}'
+
+
+def _registry() -> str:
+    """One template per customer; the fields vary with the customer's keys, the spelling with the nation."""
+    def lit(text: str) -> str:
+        return "'" + text.replace("{", "{{").replace("}", "}}") + "'"
+
+    supplier = _field("supplier", "object", ',"children":[' + ",".join(
+        [_field("name", "string"), _field("vat_total", "number"), _field("Grand_Total", "number")]) + "]")
+    lines_a = _field("line_items", "array", ',"children":[' + ",".join(
+        [_field("service_date", "string"), _field("quantity", "number"), _field("unit_price", "number"),
+         _field("line_total", "number"), _field("net_amount", "number")]) + "]")
+    lines_b = _field("line_items", "array", ',"children":[' + ",".join(
+        [_field("quantity", "number"), _field("unit_price", "number"), _field("note", "string")]) + "]")
+    tags = _field("tags", "array", ',"children":[' + _field("tag", "string") + "]")
+    nested = _field("extra", "object", ',"children":[' + _field("empty", "array") + "," + _field("gone", "object", ',"children":[]') + "]")
+    fields = " || ',' || ".join([
+        f"CASE WHEN c_custkey % 2 = 0 THEN {lit(_field('invoice_number', 'string', ',\"required\":true', 'Number as printed'))} ELSE {lit(_field('Invoice_Number ', 'string', '', ''))} END",
+        f"CASE WHEN c_custkey % 3 = 0 THEN {lit(_field('issueDate', 'string'))} WHEN c_custkey % 3 = 1 THEN {lit(_field('due-date', 'string'))} ELSE {lit(_field('period', 'string', ',\"format\":\"MM/YYYY\"'))} END",
+        f"CASE WHEN c_custkey % 5 = 0 THEN {lit(_field('total_amount', 'number', '', None))} ELSE {lit(_field('total_amount', 'number'))} END",
+        lit(supplier),
+        f"CASE WHEN c_custkey % 2 = 0 THEN {lit(lines_a)} ELSE {lit(lines_b)} END",
+        f"CASE WHEN c_custkey % 7 = 0 THEN {lit(_field('status', 'enum', ',\"values\":[]'))} WHEN c_custkey % 7 = 1 THEN {lit(_field('status', 'enum', ',\"values\":[\"a\",1]'))} ELSE {lit(_field('status', 'enum', ',\"values\":[\"open\",\"paid\"]'))} END",
+        f"CASE WHEN c_custkey % 4 = 0 THEN {lit(nested)} WHEN c_custkey % 4 = 1 THEN {lit(_field(' ', 'date'))} ELSE {lit(tags)} END",
+    ])
+    json_schema = ('{"type":"object","properties":{"invoice_number":{"type":"string","description":"Number"},"total_amount":{"type":"number"},'
+                   '"untyped":{"format":"DD.MM.YYYY"},"supplier":{"type":"object","properties":{"name":{"type":"string"},"grand_total":{"type":"number"}},"required":["name"]},'
+                   '"line_items":{"type":"array","items":{"type":"object","properties":{"qty":{"type":"number"},"price":{"type":"number"}}}},'
+                   '"scores":{"type":"array","items":{"type":"number"}}},"required":["invoice_number"]}')
+    return f"""
+SELECT 'r' || CAST(c_custkey AS STRING) AS template_id, c_custkey AS seq, c_nationkey AS nation,
+  CASE c_nationkey % 4 WHEN 0 THEN '[' || {fields} || ']' WHEN 1 THEN ' {{{{"fields":[' || {fields} || ']}}}}'
+    WHEN 2 THEN {lit(lines_a)} ELSE {lit(json_schema)} END AS schema
+FROM {{customer}}
+"""
+
+
+FIXTURES["registry"] = _registry()
+
 PLACEHOLDER = re.compile(r"\{(\w+)\}")
 
 

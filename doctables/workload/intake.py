@@ -1 +1,162 @@
-"""Queries."""
+"""Source, sink and streaming queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from doctables.operators import jobs as J
+from doctables.operators import pages as P
+from doctables.plans.post_process import Settings, post_process
+from doctables.session import scratch_path
+from doctables.sources import files, sinks
+from doctables.streaming import jobs as ST
+from doctables.workload import query
+from doctables.workload.fixtures import with_fixtures as fx
+
+
+@query("s1_scan_files")
+def scan_files(t):
+    accepted, rejected = files.scan_files(t.spark, t.sf_dir, allowed=("parquet",))
+    return accepted.select("path", "length", "ext", F.lit("").alias("error")).unionByName(rejected.select("path", "length", "ext", "error"))
+
+
+@query("s1_tag_files", """
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'pdf' WHEN 2 THEN 'exe' ELSE '' END AS ext,
+  CASE page_id % 4 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime, page_id % 4 < 2 AS accepted FROM pages""")
+def tag_files(t):
+    named = t.pages.select("page_id", F.concat(F.lit("s3://b/x.y/"), F.col("page_id").cast("string"), F.expr("CASE page_id % 4 WHEN 0 THEN '.tar.HTML' WHEN 1 THEN '.pdf' WHEN 2 THEN '.exe' ELSE '' END")).alias("path"))
+    accepted, rejected = files.tag_files(named)
+    cols = ["page_id", "ext", "mime"]
+    return accepted.select(*cols, F.lit(True).alias("accepted")).unionByName(rejected.select(*cols, F.lit(False).alias("accepted")))
+
+
+@query("s2_scan_text_pages", "SELECT page_id, CAST(length(html) AS INT) AS content_length, md5(html) AS digest FROM pages")
+def scan_text_pages(t):
+    path = scratch_path(t.spark, "texts")
+    sinks.write_markdown(t.pages.selectExpr("CAST(page_id AS STRING) AS file_name", "html AS markdown"), path)
+    pages = files.scan_text_pages(t.spark, path)
+    # the text sink ends a file with a line break
+    body = F.regexp_replace("content", r"\n\z", "")
+    return pages.select(F.regexp_extract("path", r"file_name=(\d+)/", 1).cast("bigint").alias("page_id"), F.length(body).alias("content_length"), F.md5(body).alias("digest"))
+
+
+@query("s8_write_markdown", fx("SELECT doc_id, md5(string_agg(content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page)) AS digest FROM conv_pages GROUP BY doc_id"))
+def write_markdown(t):
+    path = scratch_path(t.spark, "markdown")
+    docs = P.assemble(t.conv_pages).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file_name"), "markdown")
+    sinks.write_markdown(docs, path)
+    back = files.scan_text_pages(t.spark, path)
+    return back.select(F.regexp_extract("path", r"file_name=doc(\d+)/", 1).cast("bigint").alias("doc_id"), F.md5(F.regexp_replace("content", r"\n\z", "")).alias("digest"))
+
+
+OUTPUT = """'warning: x ' || CASE WHEN doc_id % 5 = 0 THEN '{"pages":[],"usable":false}' WHEN doc_id % 5 = 1 THEN 'crashed' ELSE"""
+
+
+@query("s3_scan_converted", """
+SELECT doc_id, doc_id % 2 = 0 AS usable, CAST(n AS INT) AS page, CAST(CASE n WHEN 1 THEN length(text) ELSE 6 END AS INT) AS content_length FROM documents, (SELECT unnest([1, 2]) AS n) WHERE doc_id % 5 > 1""")
+def scan_converted(t):
+    body = F.concat(F.lit("warning: x\n"), F.to_json(F.struct(F.array("text", F.lit("page 2")).alias("pages"), F.lit(2).alias("total"), F.expr("doc_id % 2 = 0").alias("usable"))), F.lit("\ndone"))
+    raw = t.documents.select("doc_id", F.when(F.expr("doc_id % 5 = 0"), '{"pages":[],"usable":false}').when(F.expr("doc_id % 5 = 1"), "crashed").otherwise(body).alias("output"))
+    return files.scan_converted(raw)[0].select("doc_id", "usable", "page", "content_length")
+
+
+@query("s3_converter_errors", "SELECT doc_id, 'no pages' AS error FROM documents WHERE doc_id % 5 < 2")
+def converter_errors(t):
+    body = F.to_json(F.struct(F.array("text").alias("pages"), F.lit(True).alias("usable")))
+    raw = t.documents.select("doc_id", F.when(F.expr("doc_id % 5 = 0"), '{"pages":[],"usable":false}').when(F.expr("doc_id % 5 = 1"), "crashed").otherwise(body).alias("output"))
+    return files.scan_converted(raw)[1]
+
+
+@query("s4_load_catalog", fx("SELECT 'users' AS name, count(*) AS n FROM users UNION ALL SELECT 'companies', count(*) FROM companies UNION ALL SELECT 'jobs', count(*) FROM jobs"))
+def load_catalog(t):
+    folder = scratch_path(t.spark, "catalog")
+    for name in ("users", "companies", "jobs"):
+        getattr(t, name).write.parquet(f"{folder}/{name}")
+    tables = files.load_catalog(t.spark, folder, ("users", "companies", "jobs"))
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("s5_scan_results", """
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' ELSE '{}' END AS result FROM events""")
+def scan_results(t):
+    stored = t.events.select("event_id", F.when(F.expr("event_id % 3 = 0"), F.col("props")).when(F.expr("event_id % 3 = 1"), "{oops").alias("result_data"))
+    return files.scan_results(stored)
+
+
+@query("s7_write_details_csv", fx("SELECT 'Currency' AS key, CASE WHEN currency <> '' THEN currency ELSE 'ZZZ' END AS value, count(*) AS n FROM headers WHERE doc_id IN (SELECT doc_id FROM items) GROUP BY 2"))
+def write_details_csv(t):
+    from doctables.operators.export import details_table
+    from doctables.workload.export import records
+    path = scratch_path(t.spark, "details")
+    # one folder per document is the sink's layout; here documents are grouped by their last digits
+    rows = details_table(records(t)).withColumn("doc_id", F.expr("doc_id % 40"))
+    sinks.write_details_csv(rows, path)
+    back = t.spark.read.option("header", "true").option("escape", '"').csv(path)
+    return back.where("Key = 'Currency'").groupBy(F.col("Key").alias("key"), F.col("Value").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query("s9_write_jobs", fx("SELECT id, status, '{\"total\":' || CAST(total_ms AS VARCHAR) || '}' AS timing, created_at FROM jobs"))
+def write_jobs(t):
+    path = scratch_path(t.spark, "jobs")
+    sinks.write_jobs(t.jobs.select("id", "status", F.struct(F.col("total_ms").alias("total")).alias("timing"), "created_at"), path)
+    return t.spark.read.parquet(path).select("id", "status", "timing", "created_at")
+
+
+@query("s11_storage_keys", """
+SELECT page_id, regexp_replace(list_last(string_split(url, '/')), '[^0-9A-Za-z_.\\- ]+', '_', 'g') AS safe_name,
+  'in/box/' || CAST(page_id % 7 AS VARCHAR) || '/' || regexp_replace(list_last(string_split(url, '/')), '[^0-9A-Za-z_.\\- ]+', '_', 'g') AS storage_key FROM pages""")
+def storage_keys(t):
+    uploads = t.pages.select("page_id", F.expr("CAST(page_id % 7 AS STRING)").alias("job_id"), F.col("url").alias("file_name"))
+    return files.storage_keys(uploads, "//in/box/").select("page_id", "safe_name", "storage_key")
+
+
+@query("s12_file_stem", """
+SELECT page_id, left(lower(regexp_replace(regexp_replace(split_part(list_last(string_split(url || ' My File.v2.pdf', '/')), '.', 1), '[^0-9A-Za-z_\\s]', '', 'g'), '\\s+', '_', 'g')), 255) AS stem FROM pages""")
+def stem(t):
+    return files.file_stem(t.pages.select("page_id", F.concat("url", F.lit(" My File.v2.pdf")).alias("name")), "name").select("page_id", "stem")
+
+
+@query("r3_post_process")
+def chain(t):
+    return post_process(t.items.drop("tax", "quantity"), t.invoice_pages, Settings(
+        domain="aviation", date_columns=["date"], date_format="YYYY-MM-DD", date_input_format="DD.MM.YYYY",
+        columns={"description": "string", "charges_type": "string", "flight_number": "string", "date": "string", "net_amount": "double", "airport": "string"},
+        filter={"dropIf": ["noise"]}))
+
+
+@query("st1_stream_documents", "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents")
+def stream_documents(t):
+    source, out = scratch_path(t.spark, "inbox"), scratch_path(t.spark, "outbox")
+    t.documents.select("doc_id", "text").repartition(4).write.parquet(source)
+    ST.stream_documents(t.spark, source, "doc_id bigint, text string",
+                        lambda b: b.select("doc_id", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines")), out, scratch_path(t.spark, "state"))
+    return t.spark.read.parquet(out).select("doc_id", "n_lines")
+
+
+def event_stream(t, label):
+    source = scratch_path(t.spark, label)
+    t.events.select("ts", "user_id", "event_type", "value").write.parquet(source)
+    return ST.job_events(t.spark.readStream.schema("ts timestamp_ntz, user_id bigint, event_type string, value double").parquet(source))
+
+
+@query("st2_stream_job_counters", "SELECT count(DISTINCT user_id) AS total FROM events WHERE event_type IN ('purchase', 'error')")
+def stream_job_counters(t):
+    name = "counters_" + scratch_path(t.spark, "x").rsplit("-", 1)[1]
+    query = (ST.stream_job_counters(event_stream(t, "events"), "3650 days").writeStream.outputMode("complete").format("memory").queryName(name)
+             .option("checkpointLocation", scratch_path(t.spark, "state")).trigger(availableNow=True).start())
+    query.awaitTermination(300)
+    return t.spark.table(name).select("total")
+
+
+@query("st3_stream_job_state")
+def stream_job_state(t):
+    ST.use_rocksdb(t.spark)
+    out = scratch_path(t.spark, "states")
+    query = (ST.stream_job_state(event_stream(t, "events")).writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", scratch_path(t.spark, "state")).trigger(availableNow=True).start())
+    query.awaitTermination(300)
+    return t.spark.read.schema(ST.STATE_COLUMNS).parquet(out)
