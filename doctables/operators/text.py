@@ -43,10 +43,15 @@ def vocab_matches(line: Column, pattern: str, first: bool = False) -> Column:
     return F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
 
 
+def _upper(c: Column) -> Column:
+    # case conversion is costly and almost never needed here
+    return F.when(c.rlike(r"[^\x20-\x60]"), F.upper(c)).otherwise(c)
+
+
 def extract_vocab(lines: DataFrame, vocab: Mapping[str, str]) -> DataFrame:
     """Vocabulary columns of each line: ``flights`` and ``dates`` hold all matches, the rest the first."""
     upper = F.transform(vocab_matches(F.col("line"), vocab["flight_number"]),
-                        lambda x: F.upper(F.regexp_replace(x, r"\s+", " ")))
+                        lambda x: _upper(F.regexp_replace(x, r"\s+", " ")))
     out = lines.withColumn("flights", upper).withColumn(
         "registration", vocab_matches(F.col("line"), vocab["aircraft_registration"], first=True))
     out = out.withColumn("dates", F.concat(vocab_matches(F.col("line"), vocab["date"]), dates.compact_dates(F.col("line"))))
@@ -98,10 +103,15 @@ def label_amount_pairs(line: Column) -> Column:
     """
     found = F.regexp_extract_all(line, F.lit(r"([A-Za-z][A-Za-z .&/-]{2,30}?)\s*:"), F.lit(1))
     names = F.filter(F.transform(found, text.clean_charge_name), lambda n: F.length(n) > 2)
-    amounts = money.money_tokens(line)
-    pairs = F.zip_with(names, amounts, lambda n, a: F.struct(n.alias("name"), money.parse_amount(a).alias("amount")))
-    kept = F.filter(F.slice(pairs, 1, F.least(F.size(names), F.size(amounts))), lambda p: p["amount"] != 0)
-    return F.when((F.size(names) > 0) & (F.size(amounts) > 0), kept)
+
+    def pair(n: Column, a: Column) -> Column:
+        pairs = F.zip_with(n, a, lambda x, y: F.struct(x.alias("name"), money.parse_amount(y).alias("amount")))
+        kept = F.filter(F.slice(pairs, 1, F.least(F.size(n), F.size(a))), lambda p: p["amount"] != 0)
+        return F.when((F.size(n) > 0) & (F.size(a) > 0), kept)
+
+    # most lines have no colon and need no pattern at all
+    both = F.struct(names.alias("n"), money.money_tokens(line).alias("a"))
+    return F.when(line.contains(":"), text.let(both, lambda x: pair(x["n"], x["a"])))
 
 
 def explode_label_pairs(lines: DataFrame) -> DataFrame:
