@@ -40,10 +40,10 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     df = df.withColumn("_blk", block).withColumn("_val", value)
     local = Window.partitionBy(*keys, "_blk").orderBy(*order)
     frame = local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    ends = df.where(F.col("_val").isNotNull()).groupBy(*keys, "_blk").agg(
-        F.max_by("_val", F.struct(*order)).alias("_end"))
-    # a block takes the value of the nearest earlier block that has one
-    blocks = df.select(*keys, "_blk").distinct().join(ends, [*keys, "_blk"], "left")
+    # one row per block, reduced before the shuffle; a block takes the value of the nearest earlier
+    # block that has one
+    blocks = df.groupBy(*keys, "_blk").agg(F.max(F.when(
+        F.col("_val").isNotNull(), F.struct(*order, "_val")))["_val"].alias("_end"))
     earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select(*keys, "_blk", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
     scanned = df.withColumn("_local", F.last("_val", ignorenulls=True).over(frame))

@@ -49,10 +49,12 @@ def write_markdown(docs: DataFrame, path: str, ext: str = "md") -> None:
         "lineSep", "\n").text(path)
 
 
-def write_jobs(jobs: DataFrame, path: str) -> None:
-    """Jobs as Parquet by creation day, nested columns as JSON text."""
+def write_jobs(jobs: DataFrame, path: str, grain: str = "day") -> None:
+    """Jobs as Parquet by creation day (or month), nested columns as JSON text.
+
+    The rebalance hint gathers small days into few files and splits a busy one over several tasks.
+    """
     flat = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(f.name) for f in jobs.schema]
-    day = F.to_date(F.timestamp_millis("created_at"))
-    # rows of a day are spread over several tasks, so that one busy day is no bottleneck
-    jobs.select(*flat, day.alias("created_day")).repartition("created_day", F.pmod(F.xxhash64("id"), F.lit(16))).write.mode(
-        "overwrite").partitionBy("created_day").parquet(path)
+    column = f"created_{grain}"
+    when = F.to_date(F.date_trunc(grain, F.timestamp_millis("created_at")))
+    jobs.select(*flat, when.alias(column)).hint("rebalance", column).write.mode("overwrite").partitionBy(column).parquet(path)

@@ -102,7 +102,7 @@ def write_details_csv(t):
 @query("s9_write_jobs", fx("SELECT id, status, '{\"total\":' || CAST(total_ms AS VARCHAR) || '}' AS timing, created_at FROM jobs"))
 def write_jobs(t):
     path = scratch_path(t.spark, "jobs")
-    sinks.write_jobs(t.jobs.select("id", "status", F.struct(F.col("total_ms").alias("total")).alias("timing"), "created_at"), path)
+    sinks.write_jobs(t.jobs.select("id", "status", F.struct(F.col("total_ms").alias("total")).alias("timing"), "created_at"), path, grain="month")
     return t.spark.read.parquet(path).select("id", "status", "timing", "created_at")
 
 
