@@ -36,8 +36,8 @@ def clean_markdown(c: Column) -> Column:
     text = trim_all(F.coalesce(c, F.lit("")))
     fence = r"(?s)\A```markdown\n(.*)\n```\z"
     for _ in range(3):
-        text = F.when(text.startswith("```markdown") & text.endswith("```"),
-                      trim_all(F.regexp_replace(text, fence, "$1"))).otherwise(text)
+        text = let(text, lambda x: F.when(
+            x.startswith("```markdown") & x.endswith("```"), trim_all(F.regexp_replace(x, fence, "$1"))).otherwise(x))
     text = F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)\s*", "")
     text = F.regexp_replace(text, "_{10,}", "---")
     return F.regexp_replace(text, "[-=~*.]{200,}", "---")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -46,7 +47,8 @@ def job_filter(tab: str | None = None, q: str | None = None, status: str | None
     elif tab == "extraction":
         cond = cond & (F.col("template_name").isNull() | (F.col("template_name") != SCHEMA_JOB))
     if q:
-        pattern = f"%{q}%"
+        # a backslash that escapes nothing is dropped; % and _ in the text stay wildcards
+        pattern = "%" + re.sub(r"\\([^%_\\])", r"\1", q) + "%"
         full = F.concat(F.coalesce("user_first_name", F.lit("")), F.lit(" "), F.coalesce("user_last_name", F.lit("")))
         texts = [F.col("file_name"), F.col("id"), F.col("template_name"), F.col("user_email"), full]
         cond = cond & F.coalesce(F.exists(F.array(*texts), lambda x: x.ilike(pattern)), F.lit(False))

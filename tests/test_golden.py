@@ -274,6 +274,15 @@ def test_listing_counts(spark):
     assert jobs.job_counts(df, limit=20, offset=84).first().has_more is False
 
 
+def test_search_text_is_a_pattern(spark):
+    df = spark.createDataFrame([("a_1.pdf",), ("ab1.pdf",), ("x.pdf",)], "file_name string").selectExpr(
+        "file_name", "file_name AS id", "CAST(NULL AS STRING) AS template_name", "'u' AS user_id", "'' AS user_email", "'' AS user_first_name", "'' AS user_last_name")
+    hits = lambda q: {r.file_name for r in jobs.filter_jobs(df, q=q).collect()}
+    assert hits("A_1") == {"a_1.pdf", "ab1.pdf"}
+    assert hits(r"a\_1") == {"a_1.pdf"}
+    assert hits(r"\x") == {"x.pdf"}
+
+
 def test_export_blank_and_nested(spark):
     df = spark.createDataFrame(
         [(1, "f.pdf", None, ("USD", None), [("A", "null", 3.5)])],
