@@ -1,8 +1,9 @@
-"""Quality rules: counts of each text, hard limits on them, and an isolation forest on their ratios.
+"""Quality rules: counts of each text, hard limits on them, and isolation forests on their ratios.
 
-The forest is grown on a bounded sample of all documents; path lengths over its random splits give each document an anomaly
-score between 0 and 1. The threshold comes from all labelled documents: the score above which the most bad ones lie, while at most
-``max_loss`` of the good ones do.
+One forest splits on all ratios, and one on each ratio alone, since a group of equal faults hides among the random splits of
+other ratios. Forests are grown on a bounded sample of all documents; path lengths over the random splits give each document an
+anomaly between 0 and 1 per forest. Thresholds come from all labelled documents: per forest, the anomaly above which the most
+bad ones lie, while at most ``max_loss`` of the good ones do; a forest that catches less than ``min_gain`` of them rejects nothing.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 #: The forest: number of trees, rows per tree, and score bins in which labelled documents are counted.
-TREES, ROWS_PER_TREE, BINS = 100, 256, 2000
-MAX_LOSS = 0.01
+TREES, ROWS_PER_TREE, BINS = 50, 256, 2000
+MAX_LOSS, MIN_GAIN = 0.002, 0.05
+RATIOS = ("n_words", "word_length", "symbols", "dup_lines", "repeats", "upper", "marks", "distinct")
+#: The ratios that each forest splits on; the first one is the joint forest.
+FORESTS = (tuple(range(1, len(RATIOS))), *((i,) for i in range(len(RATIOS))))
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_distinct_words")
 _SPACES = " \t\n\x0b\x0c\r"
@@ -138,54 +142,56 @@ def grow(sample: np.ndarray, trees: int = TREES, rows: int = ROWS_PER_TREE, seed
     return Forest(feature, split, path, max(_expected(rows), 1e-9))
 
 
-def fit_forest(statistics: DataFrame, trees: int = TREES, rows: int = ROWS_PER_TREE) -> Forest | None:
-    """Grown on at most ``trees * rows`` documents, those with the smallest hashes of their counts and ids."""
+def fit_forests(statistics: DataFrame, trees: int = TREES, rows: int = ROWS_PER_TREE) -> list[Forest]:
+    """Grown on at most ``trees * rows`` documents, those with the smallest hashes of their counts and ids; none if there are none."""
     some = statistics.select(*STATISTICS).orderBy(F.xxhash64("doc_id", *STATISTICS), *STATISTICS).limit(trees * rows).toPandas()
-    return grow(ratios({s: some[s].to_numpy() for s in STATISTICS}), trees, rows) if len(some) else None
+    x = ratios({s: some[s].to_numpy() for s in STATISTICS})
+    return [grow(x[:, list(of)], trees, rows, seed) for seed, of in enumerate(FORESTS)] if len(x) else []
 
 
-def with_scores(statistics: DataFrame, forest: Forest | None) -> DataFrame:
-    """``statistics`` and a column ``anomaly`` (0.5 without a forest)."""
-    if forest is None:
-        return statistics.withColumn("anomaly", F.lit(0.5))
-
+def with_scores(statistics: DataFrame, forests: list[Forest]) -> DataFrame:
+    """``statistics`` and a column ``anomalies``, one per forest."""
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = ratios({s: column(batch, s).to_numpy(zero_copy_only=False) for s in STATISTICS})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.scores(x))], [*batch.schema.names, "anomaly"])
-    return statistics.mapInArrow(score, statistics.withColumn("anomaly", F.lit(0.0)).schema)
+            found = np.column_stack([f.scores(x[:, list(of)]) for f, of in zip(forests, FORESTS)]) if forests else np.zeros((len(x), 0))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "anomalies"])
+    return statistics.mapInArrow(score, statistics.withColumn("anomalies", F.expr("cast(array() as array<double>)")).schema)
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, bins: int = BINS, max_loss: float = MAX_LOSS) -> float:
-    """The threshold from all labelled rows, counted in score bins (``2 * bins`` rows at most); 1.1 if one label is absent.
+def calibrate(scored: DataFrame, labels: DataFrame, bins: int = BINS, max_loss: float = MAX_LOSS, min_gain: float = MIN_GAIN) -> list[float]:
+    """A threshold per forest from all labelled rows, counted in score bins; 1.1, which no score reaches, where none is worth it.
 
-    A document with several labels counts with its best one.
+    A document with several labels counts with its best one. At most two rows per forest and bin reach the driver.
     """
     best = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = (scored.where("not base_failed").join(best, "doc_id")
-            .groupBy(F.floor(F.col("anomaly") * bins).cast("int").alias("bin"), (F.col("quality") > 0).alias("good")).count().collect())
-    good, bad = np.zeros(bins + 2), np.zeros(bins + 2)
+    rows = (scored.where("not base_failed").join(best, "doc_id").select((F.col("quality") > 0).alias("good"), F.posexplode("anomalies").alias("forest", "s"))
+            .groupBy("forest", F.floor(F.col("s") * bins).cast("int").alias("bin"), "good").count().collect())
+    counts = np.zeros((2, len(FORESTS), bins + 2))
     for r in rows:
-        (good if r.good else bad)[r.bin] += r["count"]
-    if not good.sum() or not bad.sum():
-        return 1.1
-    lost, caught = np.cumsum(good[::-1])[::-1] / good.sum(), np.cumsum(bad[::-1])[::-1] / bad.sum()
-    fits = np.flatnonzero(lost <= max_loss)
-    return float(fits[np.argmax((caught - lost)[fits])] / bins)
+        counts[int(r.good), r.forest, r.bin] += r["count"]
+    out = []
+    for good, bad in zip(counts[1], counts[0]):
+        lost, caught = np.cumsum(good[::-1])[::-1] / max(good.sum(), 1), np.cumsum(bad[::-1])[::-1] / max(bad.sum(), 1)
+        fits = np.flatnonzero((lost <= max_loss) & (caught >= min_gain))
+        out.append(float(fits[np.argmax((caught - lost)[fits])] / bins) if len(fits) and good.sum() else 1.1)
+    return out
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: the counts, base_failed, anomaly and ``kept``.
+    """One row per row of ``docs``: the counts, base_failed, anomalies and ``kept``.
 
-    ``kept`` is false if base_failed or if the anomaly reaches the threshold. Repeated rows each get a row; other columns are
+    ``kept`` is false if base_failed or if an anomaly reaches its forest's threshold. Repeated rows each get a row; other columns are
     ignored; an empty table gives no rows.
     """
     statistics = written(rule_statistics(docs), "rule-statistics")
-    scored = with_scores(statistics, fit_forest(statistics.where("not base_failed")))
-    threshold = calibrate(scored, labels)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < threshold))
+    scored = with_scores(statistics, fit_forests(statistics.where("not base_failed")))
+    limits = F.array(*(F.lit(t) for t in calibrate(scored, labels)))
+    caught = F.exists(F.zip_with("anomalies", limits, lambda s, t: s >= t), lambda x: x)
+    return scored.withColumn("kept", ~F.col("base_failed") & ~caught)
 
 
 def op8_quality_rules(spark, sf_dir):
     judged = judge_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.select("doc_id", *STATISTICS[:5], "base_failed", "kept", "anomaly")
+    return judged.select("doc_id", *STATISTICS[:5], "base_failed", "kept", F.get("anomalies", F.lit(0)).alias("anomaly"))
