@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from doctables.llm import chat_format, packing, quality_rules, secret_scan, token_counts, toxicity, url_filter
+from doctables.llm import chat_format, ngram_join, packing, quality_rules, secret_scan, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
