@@ -92,27 +92,29 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 class Bitmap:
-    """A bitmap of hashed 64-bit keys with a fixed number of bits: no key is missed, others may pass.
+    """A bitmap of 64-bit keys with a fixed number of bits: no key is missed, others may pass.
 
     Built by a pre-aggregated ``bit_or``; at most ``bits / 64`` words reach the driver, however many keys there are.
+    ``hashed`` keys are spread already and take their place from their own bits.
     """
 
-    def __init__(self, keys: DataFrame, name: str, bits: int = 1 << 23):
-        slot = F.pmod(F.xxhash64(name), F.lit(bits))
-        rows = (keys.select((slot / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({name}), 64) as int))").alias("b"))
-                .groupBy("w").agg(F.bit_or("b").alias("b")).collect())
-        words = np.zeros(bits // 64, np.int64)
-        if rows:
-            words[[r.w for r in rows]] = [r.b for r in rows]
-        self.text = words
-        self.bits = bits
+    def __init__(self, keys: DataFrame, name: str, bits: int = 1 << 23, hashed: bool = False):
+        self.bits, self.hashed = bits, hashed
+        rows = (keys.select(self.slots(name).alias("s")).selectExpr("cast(shiftrightunsigned(s, 6) as int) as w", "shiftleft(1L, cast(s & 63 as int)) as b")
+                .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
+        self.words = np.zeros(bits // 64, np.int64)
+        self.words[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
 
-    def passes(self, name: str):
-        """A column expression: the key may be in the bitmap. For use in a Pandas-free filter by :func:`probe`."""
-        return F.pmod(F.xxhash64(name), F.lit(self.bits))
+    def slots(self, name: str):
+        """The place of a key, as a column expression."""
+        return F.expr(f"shiftrightunsigned({name}, 20) & {self.bits - 1}L") if self.hashed else F.pmod(F.xxhash64(name), F.lit(self.bits))
 
     def hit(self, slots: np.ndarray) -> np.ndarray:
-        return (self.text[slots >> 6] >> (slots & 63)) & 1 == 1
+        return (self.words[slots >> 6] >> (slots & 63)) & 1 == 1
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """For hashed keys."""
+        return self.hit(((keys >> np.uint64(20)) & np.uint64(self.bits - 1)).astype(np.int64))
 
 
 def components(edges: DataFrame) -> DataFrame:

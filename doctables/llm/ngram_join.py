@@ -204,7 +204,7 @@ def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, n: int, perce
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(bitmap.value.hit(column(batch, "slot").to_numpy(zero_copy_only=False)))).select(["doc_id", "text"])
-    texts = docs.withColumn("slot", bitmap.value.passes("doc_id")).mapInArrow(pick, "doc_id long, text string")
+    texts = docs.withColumn("slot", bitmap.value.slots("doc_id")).mapInArrow(pick, "doc_id long, text string")
 
     def own_sid(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

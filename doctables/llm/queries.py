@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from doctables.llm import chat_format, ngram_join, packing, quality_rules, secret_scan, token_counts, toxicity, url_filter
+from doctables.llm import (
+    chat_format, decontaminate, ngram_join, packing, quality_rules, repeats, secret_scan, token_counts, toxicity, url_filter)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_suffix_array_dedup": repeats.op2_suffix_array_dedup,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_ngram_join": ngram_join.op6_ngram_join,

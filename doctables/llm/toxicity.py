@@ -243,7 +243,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
             own = batch.filter(pa.array(bitmap.value.hit(column(batch, "slot").to_numpy(zero_copy_only=False))))
             yield own.select(["doc_id", "text"])
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    some = some.withColumn("slot", bitmap.value.passes("doc_id")).mapInArrow(pick, "doc_id long, text string")
+    some = some.withColumn("slot", bitmap.value.slots("doc_id")).mapInArrow(pick, "doc_id long, text string")
     return some.join(known, "doc_id")
 
 
