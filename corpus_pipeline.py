@@ -1,12 +1,62 @@
-"""The corpus pipeline: stages of the training-data operators, each over all that its predecessor kept."""
+"""The corpus pipeline: stages of the training-data operators, each over all that its predecessor kept.
+
+Columns besides doc_id and text are carried along; rows with a null id or text pass the filters (a null text has no words) and are
+packed as empty documents. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from doctables.llm.common import table, written
+from doctables.llm.decontaminate import drop_contaminated
+from doctables.llm.ngram_join import link_documents, set_ids
+from doctables.llm.packing import pack_documents
+from doctables.llm.secret_scan import redact_documents
+from doctables.llm.toxicity import drop_toxic
+from doctables.session import scratch_path
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays; repeated rows of an id with equal words become one."""
+    links = written(link_documents(docs).select("doc_id", "component_id"), "pipeline-links")
+    # both lists are stored: Spark knows their size when it picks the join
+    gone = written(links.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
+    repeated = written(links.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "pipeline-repeated")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if not repeated.isEmpty():
+        again = set_ids(kept.join(repeated, "doc_id", "left_semi")).dropDuplicates(["doc_id", "_sid"]).drop("_sid")
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again)
+    return kept.select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by their kind."""
+    return redact_documents(docs, scratch_path(spark, "ledger"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document, with its place in a sequence."""
+    return pack_documents(docs)
 
-from doctables.llm.common import written
 
-STAGES = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("packing", packing),
+]
 
 #: No SQL for trained scores, edit distances and tokens; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
@@ -14,7 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; each stage's result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
