@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from doctables.llm.common import table, written
+from doctables.llm.common import free_name, table, written
 from doctables.llm.decontaminate import drop_contaminated
 from doctables.llm.ngram_join import link_documents, set_ids
 from doctables.llm.packing import pack_documents
@@ -30,7 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = written(links.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "pipeline-repeated")
     kept = docs.join(gone, "doc_id", "left_anti")
     if not repeated.isEmpty():
-        again = set_ids(kept.join(repeated, "doc_id", "left_semi")).dropDuplicates(["doc_id", "_sid"]).drop("_sid")
+        sid = free_name(docs, "_sid")
+        again = set_ids(kept.join(repeated, "doc_id", "left_semi"), sid).dropDuplicates(["doc_id", sid]).drop(sid)
         kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again)
     return kept.select(docs.columns)
 

@@ -207,7 +207,7 @@ def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, n: int, perce
     texts = docs.withColumn("slot", bitmap.value.slots("doc_id")).mapInArrow(pick, "doc_id long, text string")
 
     # the id and the set: rows of an id that was given to several texts do not mix
-    texts = set_ids(texts, n).withColumnRenamed("_sid", "sid").join(needed, ["sid", "doc_id"]).groupBy("sid").agg(F.first("text").alias("text"))
+    texts = set_ids(texts, "sid", n).join(needed, ["sid", "doc_id"]).groupBy("sid").agg(F.first("text").alias("text"))
     rows = wanted.join(texts, "sid").select("a", "chunk", "own", "sid", "text")
     return rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.desc("own"), "sid").mapInArrow(_verifier(n, percent, order), "a long, b long")
 
@@ -256,13 +256,13 @@ def link_documents(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> D
                                                     F.when(F.col("doc_id").isNull() | (F.col("sid") < 0), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "sid")
 
 
-def set_ids(docs: DataFrame, n: int = NGRAM) -> DataFrame:
-    """``docs`` and a column ``_sid``: the id of each text's n-gram set, -1 without words."""
+def set_ids(docs: DataFrame, name: str, n: int = NGRAM) -> DataFrame:
+    """``docs`` and a column ``name``: the id of each text's n-gram set, -1 without words."""
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sids = [fingerprint(s) for s in ngram_sets(column(batch, "text"), n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sids, pa.int64())], [*batch.schema.names, "_sid"])
-    return docs.mapInArrow(add, docs.withColumn("_sid", F.lit(0).cast("long")).schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sids, pa.int64())], [*batch.schema.names, name])
+    return docs.mapInArrow(add, docs.withColumn(name, F.lit(0).cast("long")).schema)
 
 
 def op6_ngram_join(spark, sf_dir):

@@ -64,7 +64,8 @@ def write_token_stream(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
 
 
 def read_stream_blocks(spark, path: str) -> DataFrame:
-    return spark.read.schema("file int, start long, tokens binary").parquet(f"{path}/kind=tokens")
+    rows = spark.read.schema("file int, start long, tokens binary, kind string").parquet(path)
+    return rows.where("kind = 'tokens'").drop("kind")
 
 
 def read_flat_files(spark, path: str, width: str = "<u2", block: int = BLOCK_TOKENS) -> DataFrame:
@@ -124,6 +125,6 @@ def scan_separators(blocks: DataFrame, end: int = END_OF_DOCUMENT, width: str =
 def op1_token_counts(spark, sf_dir):
     path = scratch_path(spark, "token-stream")
     write_token_stream(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    names = spark.read.schema("file int, number long, doc_id long").parquet(f"{path}/kind=documents")
+    names = spark.read.schema("file int, number long, doc_id long, kind string").parquet(path).where("kind = 'documents'").drop("kind")
     counted = scan_separators(read_stream_blocks(spark, path))
     return names.join(counted, ["file", "number"], "left").select("doc_id", "file", "number", "n_tokens", "complete")
