@@ -57,8 +57,9 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of all texts in a row, and where each text's words start (one more entry than texts)."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    texts = pc.fill_null(texts, "")
+    # lower case before the cast: Arrow's ascii_lower breaks cast slices
+    lists = pc.ascii_split_whitespace((pc.ascii_lower(texts) if lower else texts).cast(pa.large_string()))
     words, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     keep = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
     ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])

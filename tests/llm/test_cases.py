@@ -283,6 +283,20 @@ def test_words():
     assert words.to_pylist() == ["a", "b\x1cc", "\xa0", "d"] and starts.tolist() == [0, 2, 2, 2, 2, 4]
 
 
+@pytest.mark.parametrize("lower", [True, False])
+def test_words_of_slices(lower):
+    texts = [f"Word{i} É x{i * 7}\n" * (i % 5) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    got, counts = [], []
+    for part in common.slices([batch], limit=500):
+        words, starts = common.words_of(common.column(part, "text"), lower=lower)
+        words.validate(full=True)
+        got += words.to_pylist()
+        counts += np.diff(starts).tolist()
+    fold = (lambda t: t.replace("W", "w")) if lower else (lambda t: t)
+    assert got == [w for t in texts for w in fold(t).split()] and counts == [len(t.split()) for t in texts]
+
+
 def test_pipeline_stages(spark, odd, none, tmp_path, labels, items):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
