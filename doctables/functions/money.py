@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from doctables.functions.text import let
+from doctables.functions.text import WS, let
 
 # Fixed value: a decimal amount with two places that no digit or dot follows.
 MONEY = r"(\d[\d,]*(?:\.\d{2}|,\d{2}))(?![\d.])"
@@ -48,6 +48,6 @@ def parse_amount(c: Column) -> Column:
 
 def to_num(c: Column) -> Column:
     """Numeric prefix of a text after dropping thousands commas, blanks and currency signs."""
-    text = F.regexp_replace(c.cast("string"), r"[,\s$€£]", "")
+    text = F.regexp_replace(c.cast("string"), f"[,{WS[1:-1]}$€£]", "")
     prefix = r"^[+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
     return F.regexp_extract(text, prefix, 0).try_cast("double")

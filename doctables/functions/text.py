@@ -14,6 +14,10 @@ BLANKS = (
 )
 
 
+# the same characters inside a regular expression
+WS = "[" + BLANKS.encode("unicode_escape").decode().replace("\\x", "\\u00") + "]"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` as a bound variable."""
     return F.transform(F.array(value), body).getItem(0)
@@ -38,7 +42,7 @@ def clean_markdown(c: Column) -> Column:
     for _ in range(3):
         text = let(text, lambda x: F.when(
             x.startswith("```markdown") & x.endswith("```"), trim_all(F.regexp_replace(x, fence, "$1"))).otherwise(x))
-    text = F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)\s*", "")
+    text = F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)" + WS + "*", "")
     text = F.regexp_replace(text, "_{10,}", "---")
     return F.regexp_replace(text, "[-=~*.]{200,}", "---")
 
@@ -52,13 +56,13 @@ def normalize_markdown(c: Column) -> Column:
 PLAIN_TEXT_REWRITES = (
     (r"(\*\*|__)(.*?)\1", "$2"),
     (r"(\*|_)(.*?)\1", "$2"),
-    (r"#+\s", ""),
+    ("#+" + WS, ""),
     (r"\[(.*?)\]\(.*?\)", "$1"),
     (r"!\[(.*?)\]\(.*?\)", "$1"),
     (r"```.*?\n(?s:.*?)\n```|`.*?`", ""),
     (r">+", ""),
     (r"\n{2,}", "\n"),
-    (r"\|\s*([^|]*?)\s*\|", "$1"),
+    (rf"\|{WS}*([^|]*?){WS}*\|", "$1"),
     (r"-+", ""),
 )
 
@@ -85,8 +89,8 @@ def is_table_line(line: Column) -> Column:
 
 def clean_charge_name(c: Column) -> Column:
     """Drop a leading one-character code and leading three-letter codes."""
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s*[A-Z0-9]\s+", "")
-    return trim_all(F.regexp_replace(text, r"^\s*(?:[A-Z]{3}\s+)+", ""))
+    text = F.regexp_replace(F.coalesce(c, F.lit("")), f"^{WS}*[A-Z0-9]{WS}+", "")
+    return trim_all(F.regexp_replace(text, f"^{WS}*(?:[A-Z]{{3}}{WS}+)+", ""))
 
 
 def norm_key(c: Column) -> Column:
@@ -101,7 +105,7 @@ def norm_text(c: Column) -> Column:
 
 def cap_words(c: Column, n: int = 20) -> Column:
     """First ``n`` words; an ellipsis marks what was cut."""
-    words = F.split(trim_all(F.regexp_replace(c, r"\s+", " ")), " ")
+    words = F.split(trim_all(F.regexp_replace(c, WS + "+", " ")), " ")
     return F.concat(F.array_join(F.slice(words, 1, n), " "),
                     F.when(F.size(words) > n, F.lit("…")).otherwise(F.lit("")))
 

@@ -22,18 +22,25 @@ def line_value(spec: dict) -> Column:
     return to_num(F.col(spec["name"]))
 
 
-def line_sums(items: DataFrame, specs: dict[str, dict], scale: int = 4) -> DataFrame:
-    """Line sum and row count per document and array; arrays without an amount rule are left out.
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles that does not depend on the order of the rows, 0 without any.
 
-    Sums are decimal, so they do not depend on the order of the rows.
+    Added up as decimals with ten places; only where a value or the sum does not fit one, as doubles.
     """
+    exact = value.try_cast("decimal(38,10)")
+    fits = F.count_if(value.isNotNull() & exact.isNull()) == 0
+    return F.coalesce(F.when(fits, F.try_sum(exact)).cast("double"), F.sum(value), F.lit(0.0))
+
+
+def line_sums(items: DataFrame, specs: dict[str, dict]) -> DataFrame:
+    """Line sum and row count per document and array; arrays without an amount rule are left out."""
     value = None
     for array, spec in specs.items():
         hit = F.col("array_name") == array
         value = F.when(hit, line_value(spec)) if value is None else value.when(hit, line_value(spec))
     rows = items.where(F.col("array_name").isin(list(specs)))
     return rows.groupBy("doc_id", "array_name").agg(
-        F.coalesce(F.sum(value.cast(f"decimal(28,{scale})")), F.lit(0)).cast("double").alias("line_sum"),
+        exact_sum(value).alias("line_sum"),
         F.count("*").alias("n_rows"))
 
 
@@ -61,7 +68,7 @@ def within_tolerance(total: Column, line_sum: Column) -> Column:
 
 
 def two_places(c: Column) -> Column:
-    return F.round(c, 2).cast("decimal(28,2)").cast("string")
+    return F.coalesce(F.round(c, 2).try_cast("decimal(38,2)").cast("string"), c.cast("string"))
 
 
 def totals_report(headers: DataFrame, sums: DataFrame, totals: Sequence[str], links: dict[str, Sequence[str]] | None = None,
@@ -77,7 +84,7 @@ def totals_report(headers: DataFrame, sums: DataFrame, totals: Sequence[str], li
         arrays = (links or {}).get(total)
         part = sums.where(F.col("array_name").isin(list(arrays))) if arrays else sums
         part = part.groupBy("doc_id").agg(
-            F.sum(F.col("line_sum").cast("decimal(28,4)")).cast("double").alias("line_sum"),
+            exact_sum(F.col("line_sum")).alias("line_sum"),
             F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_arrays"),
             F.array_join(F.array_sort(F.collect_set("array_name")), " + ").alias("arrays"))
         one = headers.select("doc_id", to_num(F.col(total)).alias("total_value")).join(part, "doc_id").where(F.col("n_rows") > 0)

@@ -49,7 +49,7 @@ def insert_new(target: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(target: DataFrame, updates: DataFrame, key: Sequence[str], version: str) -> DataFrame:
-    """Insert or replace by key; the latest version wins, an update beats an equally old row."""
+    """Insert or replace by key: an update beats a stored row; among several rows of one side the latest version wins."""
     both = target.withColumn("_src", F.lit(0)).unionByName(updates.withColumn("_src", F.lit(1)))
     latest = Window.partitionBy(*key).orderBy(F.desc("_src"), F.desc(version))
     return both.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").drop("_rn", "_src")

@@ -51,7 +51,7 @@ def _upper(c: Column) -> Column:
 def extract_vocab(lines: DataFrame, vocab: Mapping[str, str]) -> DataFrame:
     """Vocabulary columns of each line: ``flights`` and ``dates`` hold all matches, the rest the first."""
     upper = F.transform(vocab_matches(F.col("line"), vocab["flight_number"]),
-                        lambda x: _upper(F.regexp_replace(x, r"\s+", " ")))
+                        lambda x: _upper(F.regexp_replace(x, text.WS + "+", " ")))
     out = lines.withColumn("flights", upper).withColumn(
         "registration", vocab_matches(F.col("line"), vocab["aircraft_registration"], first=True))
     out = out.withColumn("dates", F.concat(vocab_matches(F.col("line"), vocab["date"]), dates.compact_dates(F.col("line"))))

@@ -24,6 +24,7 @@ MIME = {
 }
 ALLOWED = ("pdf", "png", "jpg", "jpeg", "txt", "docx", "html", "xlsx", "xls", "csv")
 SCHEMA_ALLOWED = ("pdf", "docx", "png", "jpg", "jpeg", "xlsx", "xls", "csv")
+TEXT_ALLOWED = ("txt", "html", "csv")
 CATALOG = ("companies", "users", "api_keys", "templates", "jobs", "app_settings", "stats")
 
 
@@ -49,8 +50,9 @@ def scan_files(spark: SparkSession, path: str, allowed: Sequence[str] = ALLOWED)
 
 
 def scan_text_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Natively readable documents (txt, html, csv) as one-page documents."""
-    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,html,csv,md}").text(path, wholetext=True)
+    """Natively readable documents (txt, html, csv, in any case) as one-page documents; ``scan_files`` reports the others."""
+    names = ",".join("".join(f"[{c}{c.upper()}]" for c in ext) for ext in TEXT_ALLOWED)
+    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{names}}}").text(path, wholetext=True)
            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
     return raw.select("path", text.file_stem(F.col("path")).alias("file_name"), F.lit(1).alias("page"), "content", F.length("content").alias("content_length"))
 

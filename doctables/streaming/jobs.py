@@ -14,19 +14,18 @@ from doctables.operators.jobs import TERMINAL
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_documents(spark: SparkSession, folder: str, schema: str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
-                     timeout: int = 300) -> bool:
+def stream_documents(spark: SparkSession, folder: str, schema: str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
     """Process the files that arrived since the last run: read, transform, append as Parquet.
 
     Each batch goes to a folder of its own, so a batch that is run again replaces itself. Returns
-    whether the run came to its end in time.
+    when all of them are done; a failed batch raises.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         work(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(write)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    return query.awaitTermination(timeout)
+    query.awaitTermination()
 
 
 def stream_job_counters(events: DataFrame, delay: str = "1 hour") -> DataFrame:

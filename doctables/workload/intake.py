@@ -148,7 +148,7 @@ def stream_job_counters(t):
     name = "counters_" + scratch_path(t.spark, "x").rsplit("-", 1)[1]
     query = (ST.stream_job_counters(event_stream(t, "events"), "3650 days").writeStream.outputMode("complete").format("memory").queryName(name)
              .option("checkpointLocation", scratch_path(t.spark, "state")).trigger(availableNow=True).start())
-    query.awaitTermination(300)
+    query.awaitTermination()
     return t.spark.table(name).select("total")
 
 
@@ -158,5 +158,5 @@ def stream_job_state(t):
     out = scratch_path(t.spark, "states")
     query = (ST.stream_job_state(event_stream(t, "events")).writeStream.format("parquet").option("path", out)
              .option("checkpointLocation", scratch_path(t.spark, "state")).trigger(availableNow=True).start())
-    query.awaitTermination(300)
+    query.awaitTermination()
     return t.spark.read.schema(ST.STATE_COLUMNS).parquet(out)

@@ -16,11 +16,13 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, ord) AS
 
 
 @query("c1_classify", fx(f"""WITH {SCORES.strip()}
-SELECT doc_id, CASE WHEN n >= 3 AND n - n2 >= 1 THEN id ELSE 'Unknown' END AS template_id, CASE WHEN n >= 3 AND n - n2 >= 1 THEN name ELSE 'Unknown' END AS template_name,
-  CASE WHEN n >= 3 AND n - n2 >= 1 THEN 'high' ELSE 'low' END AS confidence, CASE WHEN n >= 3 AND n - n2 >= 1 THEN 'keywords' ELSE 'ambiguous' END AS method, CAST(n AS INT) AS keyword_hits FROM rk WHERE rn = 1"""))
+SELECT doc_id, CASE WHEN n >= 3 AND n - n2 >= 1 THEN id ELSE 'Unknown' END AS template_id, CASE WHEN n >= 3 AND n - n2 >= 1 THEN rk.name ELSE 'Unknown' END AS template_name,
+  CASE WHEN n >= 3 AND n - n2 >= 1 THEN 'high' ELSE 'low' END AS confidence, CASE WHEN n >= 3 AND n - n2 >= 1 THEN 'keywords' ELSE 'ambiguous' END AS method, CAST(n AS INT) AS keyword_hits,
+  CAST((SELECT count(*) FROM tp) AS INT) AS n_scores, md5(coalesce((SELECT string_agg(k, '|' ORDER BY no) FROM (SELECT unnest(list_filter(list_transform(string_split(keywords, ','), lambda k: lower(trim(k))), lambda k: length(k) > 2 AND contains(lower(d.text), k))) AS k, generate_subscripts(list_filter(list_transform(string_split(keywords, ','), lambda k: lower(trim(k))), lambda k: length(k) > 2 AND contains(lower(d.text), k)), 1) AS no)), '')) AS matched
+FROM rk JOIN templates t USING (id) JOIN documents d USING (doc_id) WHERE rn = 1"""))
 def classify(t):
     out = MT.classify(t.documents.select("doc_id", F.col("text").alias("markdown")), t.templates)
-    return out.drop("matched_keywords", "all_scores")
+    return out.withColumn("n_scores", F.size("all_scores")).withColumn("matched", F.md5(F.array_join("matched_keywords", "|"))).drop("matched_keywords", "all_scores")
 
 
 @query("l5_review_text", fx(f"""WITH {SCORES.strip()},
@@ -39,12 +41,19 @@ def keyword_hits(t):
 
 
 @query("j5_substrings_join", """SELECT DISTINCT d.doc_id, w.word FROM documents d JOIN (
-  SELECT DISTINCT lower(string_split(text, ' ')[1]) AS word FROM benchmark WHERE length(string_split(text, ' ')[1]) >= 3) w ON contains(lower(d.text), w.word)""")
+  SELECT DISTINCT lower(unnest(string_split(text, ' '))) AS word FROM benchmark) w ON w.word <> '' AND contains(lower(d.text), w.word)""")
 def substrings_join(t):
-    words = t.benchmark.select(F.lower(F.get(F.split("text", " "), F.lit(0))).alias("word")).where(F.length("word") >= 3)
+    words = t.benchmark.select(F.explode(F.split(F.lower("text"), " ")).alias("word"))
     return MT.substrings_join(t.documents.select("doc_id", F.lower("text").alias("text")), "text", words, "word")
 
 
+@query("j5_all_scores", fx(f"WITH {SCORES.strip()} SELECT doc_id, id, name, CAST(ord AS INT) AS ord, CAST(n AS INT) AS hits FROM h"))
+def all_scores(t):
+    # forces the search for long keyword lists; every template counts, zero hits included
+    hits = MT.keyword_hits(t.documents.select("doc_id", F.col("text").alias("markdown")), t.templates, max_inline=0)
+    return hits.select("doc_id", F.explode("scores").alias("s")).select("doc_id", "s.id", "s.name", "s.ord", F.size("s.keywords").alias("hits"))
+
+
 @query("w3_rank_templates", fx(f"WITH {SCORES.strip()} SELECT doc_id, id AS winner, CAST(n AS INT) AS winner_hits, id2 AS runner_up, CAST(n2 AS INT) AS runner_up_hits FROM rk WHERE rn = 1"))
 def rank_templates(t):
     hits = MT.keyword_hits(t.documents.select("doc_id", F.col("text").alias("markdown")), t.templates)

@@ -130,7 +130,7 @@ def brute_dedupe(rows, ids, window=50):
         exact, key = json.dumps(r, sort_keys=True), "|".join(str(r[k] if r[k] is not None else "") for k in sorted(ids))
         if any(e["exact"] == exact for e in recent):
             continue
-        twin = next((e for e in recent if e["key"] == key), None) if ids else None
+        twin = next((e for e in recent if e["key"] == key), None) if ids and key else None  # an empty identity is none
         if twin is not None:
             a, b = filled(twin["r"]), filled(r)
             if a and all(b.get(k) == v for k, v in a.items()):
