@@ -75,21 +75,22 @@ def totals_report(headers: DataFrame, sums: DataFrame, totals: Sequence[str], li
                   labels: dict[str, str] | None = None) -> DataFrame:
     """Totals that are missing or do not agree with their line items; one row per document and total.
 
-    ``sums`` comes from ``line_sums``. ``links`` names the arrays of each total (all by default).
-    A document without any item row gives no row at all.
+    ``sums`` comes from ``line_sums``. ``links`` names the arrays of a total; without it a total belongs to the arrays that share a
+    part of its name, else to all (see ``relevant_arrays``). A document without any item row gives no row at all.
     """
-    labels = labels or {}
-    out = None
-    for total in totals:
-        arrays = (links or {}).get(total)
-        part = sums.where(F.col("array_name").isin(list(arrays))) if arrays else sums
-        part = part.groupBy("doc_id").agg(
-            exact_sum(F.col("line_sum")).alias("line_sum"),
-            F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_arrays"),
-            F.array_join(F.array_sort(F.collect_set("array_name")), " + ").alias("arrays"))
-        one = headers.select("doc_id", to_num(F.col(total)).alias("total_value")).join(part, "doc_id").where(F.col("n_rows") > 0)
-        one = one.withColumn("total_path", F.lit(total))
-        out = one if out is None else out.unionByName(one)
+    labels, links = labels or {}, links or {}
+    spark = headers.sparkSession
+    free = [(0, t) for t in totals if not links.get(t)]
+    pairs = spark.createDataFrame([(t, a) for t in totals for a in links.get(t) or ()], "total_path string, array_name string")
+    if free:
+        names = sums.select(F.lit(0).alias("group_id"), "array_name").distinct()
+        found = relevant_arrays(spark.createDataFrame(free, "group_id int, total_path string"), names).select("total_path", "array_name")
+        pairs = pairs.unionByName(found) if links else found
+    part = sums.join(pairs, "array_name").groupBy("doc_id", "total_path").agg(
+        exact_sum(F.col("line_sum")).alias("line_sum"), F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_arrays"),
+        F.array_join(F.array_sort(F.collect_set("array_name")), " + ").alias("arrays"))
+    values = headers.select("doc_id", F.inline(F.array(*(F.struct(F.lit(t).alias("total_path"), to_num(F.col(t)).alias("total_value")) for t in totals))))
+    out = values.join(part, ["doc_id", "total_path"]).where(F.col("n_rows") > 0)
     status = F.when(F.col("total_value").isNull(), "missing").when(
         ~within_tolerance(F.col("total_value"), F.col("line_sum")), "mismatch")
     out = out.withColumn("status", status).where(F.col("status").isNotNull())

@@ -157,7 +157,7 @@ def job_cards(t):
 def page_jobs(t):
     # the page is cut before the owner join
     page = J.page_jobs(J.filter_jobs(t.jobs, status="done"), 50, 100)
-    return J.job_cards(page, t.users)
+    return J.page_jobs(J.job_cards(page, t.users))  # the join does not keep the order
 
 
 @query("l2_recent_jobs", fx("SELECT id, created_at FROM jobs ORDER BY created_at DESC, id LIMIT 25"))
@@ -234,11 +234,11 @@ def delete_keys(t):
 
 
 @query("m4_upsert", """
-SELECT user_id AS key, arg_max(props, event_id) AS value, max(event_id) AS updated_at FROM events WHERE event_type <> 'view' GROUP BY 1
-UNION ALL SELECT c_custkey, 'initial', -1 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type <> 'view')""")
+SELECT user_id AS key, arg_max(props, event_id) AS value, max(event_id) AS updated_at FROM events GROUP BY 1
+UNION ALL SELECT c_custkey, 'initial', -1 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)""")
 def upsert(t):
     target = t.customer.selectExpr("c_custkey AS key", "'initial' AS value", "-1L AS updated_at")
-    updates = t.events.where("event_type <> 'view'").selectExpr("user_id AS key", "props AS value", "event_id AS updated_at")
+    updates = t.events.selectExpr("user_id AS key", "props AS value", "event_id AS updated_at")
     return M.upsert(target, updates, ["key"], "updated_at")
 
 

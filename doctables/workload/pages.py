@@ -35,14 +35,14 @@ def with_page_context(t):
 
 TILES = """SELECT conv_id AS doc_id, 'conv_page_' || lpad(CAST(turn // 3 + 1 AS VARCHAR), 5, '0') ||
   CASE WHEN conv_id % 2 = 0 THEN '_' || lpad(CAST(turn % 3 AS VARCHAR), 2, '0') ELSE '_' || CAST(turn % 3 AS VARCHAR) END || '.png' AS tile_name, text AS content
-  FROM conversations WHERE role <> 'system'"""
+  FROM conversations"""
 
 
 @query("p4_regroup_tiles", f"""
 SELECT doc_id, left(tile_name, 15) AS page_key, string_agg(content, chr(10) || chr(10) ORDER BY tile_name) AS content
 FROM ({TILES}) GROUP BY ALL""")
 def regroup_tiles(t):
-    tiles = t.conversations.where("role <> 'system'").selectExpr(
+    tiles = t.conversations.selectExpr(
         "conv_id AS doc_id", """'conv_page_' || lpad(CAST(turn div 3 + 1 AS STRING), 5, '0') ||
         CASE WHEN conv_id % 2 = 0 THEN '_' || lpad(CAST(turn % 3 AS STRING), 2, '0') ELSE '_' || CAST(turn % 3 AS STRING) END || '.png' AS tile_name""",
         "text AS content")

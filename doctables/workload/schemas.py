@@ -36,9 +36,9 @@ def fields(t):
     return S.normalize_schemas(t.registry)
 
 
-@query("d1_flatten_schemas", fx(f"{TREE} SELECT {', '.join(COLS)} FROM f WHERE style = 'native'"))
+@query("d1_flatten_schemas", fx(f"{TREE} SELECT {', '.join(COLS)} FROM f"))
 def flatten_schemas(t):
-    return S.flatten_schemas(t.registry).where("style = 'native'").select(*COLS)
+    return S.flatten_schemas(t.registry).select(*COLS)
 
 
 @query("d3_normalize_schemas", fx(f"{TREE} SELECT template_id, style, path, type, required, description, n_children FROM f"))
@@ -140,21 +140,20 @@ def conform_violations(t):
 @query("d5_conform_rows", """
 WITH o AS (SELECT o_orderkey AS k, lower(o_orderstatus) AS st, o_orderkey % 11 <> 0 AS good FROM orders)
 SELECT k AS doc_id, CASE WHEN good AND k % 3 = 1 THEN CAST(0 AS DOUBLE) WHEN good AND k % 3 = 2 THEN 12.5 END AS total, CASE WHEN good AND k % 4 <> 0 THEN st END AS status,
-  CAST(CASE WHEN good AND k % 6 <> 0 THEN 2 ELSE 0 END AS INT) AS n_rows FROM o WHERE good""")
+  CAST(CASE WHEN good AND k % 6 <> 0 THEN 2 ELSE 0 END AS INT) AS n_rows FROM o""")
 def conform_rows(t):
-    good = records(t).where(F.try_parse_json("record").isNotNull())
-    return S.conform(good, record_schema())[0].select("doc_id", "total", "status", F.size("rows").alias("n_rows"))
+    return S.conform(records(t), record_schema())[0].select("doc_id", "total", "status", F.size("rows").alias("n_rows"))
 
 
 @query("d4_to_struct_type", """
-SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 = 1 THEN CAST(o_orderkey AS VARCHAR) WHEN o_orderkey % 5 > 1 THEN 'N' || CAST(o_orderkey AS VARCHAR) END AS invoice_number,
-  CASE WHEN o_orderkey % 4 <> 0 THEN lower(o_orderstatus) END AS status, CAST(0 AS INT) AS n_items FROM orders WHERE o_orderkey % 11 <> 0""")
+SELECT o_orderkey AS doc_id, CASE WHEN bad THEN NULL WHEN o_orderkey % 5 = 1 THEN CAST(o_orderkey AS VARCHAR) WHEN o_orderkey % 5 > 1 THEN 'N' || CAST(o_orderkey AS VARCHAR) END AS invoice_number,
+  CASE WHEN NOT bad AND o_orderkey % 4 <> 0 THEN lower(o_orderstatus) END AS status, CAST(0 AS INT) AS n_items FROM (SELECT *, o_orderkey % 11 = 0 AS bad FROM orders)""")
 def to_struct_type(t):
     """A native template's schema, read back from the registry and applied to every record."""
     all_fields = S.prune_schemas(fields(t).where("type IN ('string', 'number', 'array', 'object', 'boolean', 'enum')"))
     native = t.registry.where("nation % 4 = 0 AND seq % 2 = 0").orderBy("seq").first().template_id
     kind = S.to_struct_type(all_fields, native)
-    rows = S.conform(records(t).where(F.try_parse_json("record").isNotNull()), kind)[0]
+    rows = S.conform(records(t), kind)[0]
     return rows.select("doc_id", "invoice_number", "status", F.size("line_items").alias("n_items"))
 
 

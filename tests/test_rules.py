@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from doctables import session
 from doctables.functions import money, text
-from doctables.operators import cleaning, filters, quality
+from doctables.operators import cleaning, filters, quality, records
 from doctables.sources import files
 
 
@@ -57,6 +57,26 @@ def test_line_sums(spark, value, n, total):
     assert spark.range(1).select(quality.two_places(F.lit(total))).first()[0]
 
 
+def test_totals_belong_to_arrays_of_their_name(spark):
+    headers = spark.createDataFrame([(1, "100", "7"), (2, "100", "8")], "doc_id int, landing_total string, fuel_total string")
+    items = spark.createDataFrame([(d, a, v) for d in (1, 2) for a, v in (("landing_rows", "60"), ("landing_rows", "40"), ("fuel_rows", "7"))], "doc_id int, array_name string, amount string")
+    sums = quality.line_sums(items, {a: {"type": "column", "name": "amount"} for a in ("landing_rows", "fuel_rows")})
+    got = quality.totals_report(headers, sums, ["landing_total", "fuel_total"]).collect()
+    assert [(r.doc_id, r.total_path, r.status, r.difference) for r in got] == [(2, "fuel_total", "mismatch", 1.0)]
+    linked = quality.totals_report(headers, sums, ["landing_total"], {"landing_total": ["fuel_rows"]}).collect()
+    assert [r.difference for r in linked] == [93.0, 93.0]
+
+
+def test_empty_declared_arrays_are_rebuilt(spark):
+    kinds = "doc_id int, page int, line_no int, charge_no int, description string, charges_type string, net_amount double"
+    found = spark.createDataFrame([(1, 1, i, 0, "d", None, 1.0) for i in range(12)] + [(2, 1, 0, 0, "d", None, 1.0)], kinds)
+    items = spark.createDataFrame([(2, "rows", 1, 0, "x", "A")], "doc_id int, array_name string, page int, pos int, description string, airport string")
+    declared = spark.createDataFrame([(1, "rows"), (2, "rows")], "doc_id int, array_name string")
+    out = records.rebuild_rows(found, items, {"description": "string", "airport": "string"}, default_airport="ZZZ", arrays=declared)
+    got = sorted((r.doc_id, r.description, r.airport) for r in out.collect())
+    assert got == [(1, "d", "ZZZ")] * 12 + [(2, "x", "A")]
+
+
 def test_blank_identity_is_none(spark):
     rows = [(1, "a", 1, 0, "", "x", None), (1, "a", 1, 1, "", "x", "y"), (1, "a", 1, 2, "F1", "x", None), (1, "a", 1, 3, "F1", "x", "y")]
     items = spark.createDataFrame(rows, "doc_id int, array_name string, page int, pos int, flight_number string, p string, q string")
