@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from doctables.operators.export import CHARGES_COLUMNS
 
+# Fixed value: extensions that a download name drops.
 SOURCE_EXTENSION = r"(?i)\.(pdf|png|jpg|jpeg|txt|docx|html|xlsx|xls)$"
 BOM = "\ufeff"
 
@@ -32,19 +33,30 @@ def write_charges_csv(charges: DataFrame, path: str, bom: bool = False) -> None:
     _csv(charges.sortWithinPartitions("doc_id", "row_no").select(*[F.col(f"`{c}`") for c in CHARGES_COLUMNS]), path, bom)
 
 
-def write_details_csv(details: DataFrame, path: str, bom: bool = False) -> None:
-    """Key/value CSV, one folder per document; all keys are always there."""
+def write_details_csv(details: DataFrame, path: str, bom: bool = False, per_document: bool = False) -> None:
+    """Key/value CSV; all keys of a document are always there.
+
+    Part files hold many documents, with ``doc_id`` as their first column; ``per_document`` writes a folder for each instead, for
+    tables of few documents.
+    """
     rows = details.sortWithinPartitions("doc_id", "ord").select("doc_id", "Key", "Value")
+    if not per_document:
+        _csv(rows, path, bom)
+        return
     if bom:
         rows = rows.withColumnRenamed("Key", BOM + "Key")
     rows.write.mode("overwrite").partitionBy("doc_id").option("header", "true").option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def write_markdown(docs: DataFrame, path: str, ext: str = "md") -> None:
-    """One folder per document below ``path``, holding its text as a single file.
+def write_markdown(docs: DataFrame, path: str, per_document: bool = False) -> None:
+    """Documents (file_name, markdown), one row each, as JSON lines in part files.
 
-    ``docs`` has (file_name, markdown) with one row per document.
+    ``per_document`` writes a folder below ``path`` for each name, holding its text as a single file, for tables of few documents
+    with different names.
     """
+    if not per_document:
+        docs.select("file_name", "markdown").write.mode("overwrite").json(path)
+        return
     docs.select("file_name", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("file_name").option(
         "lineSep", "\n").text(path)
 

@@ -14,10 +14,19 @@ from doctables.workload import query
 from doctables.workload.fixtures import with_fixtures as fx
 
 
-@query("s1_scan_files")
+@query("s1_scan_files", """
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'txt' ELSE 'json' END AS ext, CASE WHEN page_id % 2 = 0 THEN strlen(html) + 1 END AS length, page_id % 2 = 0 AS accepted FROM pages""")
 def scan_files(t):
-    accepted, rejected = files.scan_files(t.spark, t.sf_dir, allowed=("parquet",))
-    return accepted.select("path", "length", "ext", F.lit("").alias("error")).unionByName(rejected.select("path", "length", "ext", "error"))
+    path = scratch_path(t.spark, "files")
+    # every page as a file of its own, half of them of a kind that is not taken
+    named = t.pages.select(F.col("page_id").cast("string").alias("file_name"), F.col("html").alias("markdown"), "page_id")
+    sinks.write_markdown(named.where("page_id % 2 = 0"), f"{path}/texts", per_document=True)
+    named.where("page_id % 2 = 1").drop("page_id").write.partitionBy("file_name").json(f"{path}/others")
+    accepted, rejected = files.scan_files(t.spark, path)
+    page = F.regexp_extract("path", r"file_name=(\d+)/", 1).cast("bigint").alias("page_id")
+    # names that begin with an underscore mark finished writes
+    return accepted.select(page, "ext", "length", F.lit(True).alias("accepted")).unionByName(
+        rejected.where(F.col("path").contains("file_name=")).select(page, "ext", F.lit(None).cast("bigint").alias("length"), F.lit(False).alias("accepted")))
 
 
 @query("s1_tag_files", """
@@ -33,7 +42,7 @@ def tag_files(t):
 @query("s2_scan_text_pages", "SELECT page_id, CAST(length(html) AS INT) AS content_length, md5(html) AS digest FROM pages")
 def scan_text_pages(t):
     path = scratch_path(t.spark, "texts")
-    sinks.write_markdown(t.pages.selectExpr("CAST(page_id AS STRING) AS file_name", "html AS markdown"), path)
+    sinks.write_markdown(t.pages.selectExpr("CAST(page_id AS STRING) AS file_name", "html AS markdown"), path, per_document=True)
     pages = files.scan_text_pages(t.spark, path)
     # the text sink ends a file with a line break
     body = F.regexp_replace("content", r"\n\z", "")
@@ -45,8 +54,8 @@ def write_markdown(t):
     path = scratch_path(t.spark, "markdown")
     docs = P.assemble(t.conv_pages).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file_name"), "markdown")
     sinks.write_markdown(docs, path)
-    back = files.scan_text_pages(t.spark, path)
-    return back.select(F.regexp_extract("path", r"file_name=doc(\d+)/", 1).cast("bigint").alias("doc_id"), F.md5(F.regexp_replace("content", r"\n\z", "")).alias("digest"))
+    back = t.spark.read.schema("file_name string, markdown string").json(path)
+    return back.select(F.substring("file_name", 4, 20).cast("bigint").alias("doc_id"), F.md5("markdown").alias("digest"))
 
 
 OUTPUT = """'warning: x ' || CASE WHEN doc_id % 5 = 0 THEN '{"pages":[],"usable":false}' WHEN doc_id % 5 = 1 THEN 'crashed' ELSE"""
@@ -87,16 +96,14 @@ def scan_results(t):
     return files.scan_results(stored)
 
 
-@query("s7_write_details_csv", fx("SELECT 'Currency' AS key, CASE WHEN currency <> '' THEN currency ELSE 'ZZZ' END AS value, count(*) AS n FROM headers WHERE doc_id IN (SELECT doc_id FROM items) GROUP BY 2"))
+@query("s7_write_details_csv", fx("SELECT doc_id, CASE WHEN currency <> '' THEN currency ELSE 'ZZZ' END AS currency, CAST(11 AS BIGINT) AS n_keys FROM headers WHERE doc_id IN (SELECT doc_id FROM items)"))
 def write_details_csv(t):
     from doctables.operators.export import details_table
     from doctables.workload.export import records
     path = scratch_path(t.spark, "details")
-    # one folder per document is the sink's layout; here documents are grouped by their last digits
-    rows = details_table(records(t)).withColumn("doc_id", F.expr("doc_id % 40"))
-    sinks.write_details_csv(rows, path)
-    back = t.spark.read.option("header", "true").option("escape", '"').csv(path)
-    return back.where("Key = 'Currency'").groupBy(F.col("Key").alias("key"), F.col("Value").alias("value")).agg(F.count("*").alias("n"))
+    sinks.write_details_csv(details_table(records(t)), path)
+    back = t.spark.read.schema("doc_id bigint, Key string, Value string").option("header", "true").option("escape", '"').csv(path)
+    return back.groupBy("doc_id").agg(F.max(F.when(F.col("Key") == "Currency", F.col("Value"))).alias("currency"), F.count("*").alias("n_keys"))
 
 
 @query("s9_write_jobs", fx("SELECT id, status, '{\"total\":' || CAST(total_ms AS VARCHAR) || '}' AS timing, created_at FROM jobs"))
