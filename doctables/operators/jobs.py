@@ -228,12 +228,16 @@ def counters(deltas: DataFrame, order: Sequence[str], columns: Sequence[str]) ->
     return floored_running_sums(deltas, order, columns)
 
 
+# Fixed value: the error of a job that was cut off.
+ORPHAN = "Server restarted before this task completed"
+
+
 def mark_orphans(jobs: DataFrame, cutoff: int, now: int | None = None) -> DataFrame:
     """In-progress jobs created before the cutoff become errors."""
     orphan = (F.col("status") == "in-progress") & (F.col("created_at") < cutoff)
     stamp = F.lit(now if now is not None else cutoff).cast("bigint")
     out = jobs.withColumn("_orphan", orphan).withColumn(
-        "error", F.when(F.col("_orphan"), "Server restarted before this task completed").otherwise(
+        "error", F.when(F.col("_orphan"), ORPHAN).otherwise(
             F.col("error") if "error" in jobs.columns else F.lit(None).cast("string")))
     done = F.col("completed_at") if "completed_at" in jobs.columns else F.lit(None).cast("bigint")
     out = out.withColumn("completed_at", F.when(F.col("_orphan"), stamp).otherwise(done))

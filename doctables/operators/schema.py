@@ -333,7 +333,7 @@ SELECT source, seq, rec, path, name, depth, element, schema_of_variant(value) AS
 def infer_schema(records: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
     """Field rows inferred from JSON records: the first type seen wins, over all records of a source.
 
-    ``records`` has (source, seq, record). Sources merge as in ``merge_schemas`` when ``by`` is empty.
+    ``records`` has (source, seq, record); records of equal ``seq`` stand in the order of their hashes. Sources merge as in ``merge_schemas`` when ``by`` is empty.
     """
     spark = records.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
@@ -345,6 +345,6 @@ def infer_schema(records: DataFrame, by: Sequence[str] = ("source",)) -> DataFra
     path = F.lower("path")
     fields = typed.where(~F.col("element")).groupBy(*by, path.alias("norm_path")).agg(
         F.min(F.struct("seq", "rec", "path", "name", "depth", "type")).alias("_f"), F.count("*").alias("n_values"))
-    element = typed.where(F.col("element") & (F.col("type") != "object")).groupBy(*by, path.alias("norm_path")).agg(F.min("type").alias("item_type"))
+    element = typed.where(F.col("element") & (F.col("type") != "object")).groupBy(*by, path.alias("norm_path")).agg(F.min(F.struct("seq", "rec", "type"))["type"].alias("item_type"))
     return fields.join(element, [*by, "norm_path"], "left").select(
         *by, "norm_path", "_f.path", "_f.name", "_f.depth", "_f.type", F.when(F.col("_f.type") == "array", F.col("item_type")).alias("item_type"), "n_values")
