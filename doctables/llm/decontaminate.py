@@ -2,8 +2,9 @@
 
 CGK walks turn an item and each item-sized window of a text into strings of three times the length, such that few edits become few
 differing places; bit sampling looks windows up by some of those places, in as many tables as the target recall takes; every
-candidate is verified by exact edit distance. Before a window is embedded, it must hold as many of the items' word pairs as the
-edits that are allowed can leave (each changes two), so no match is lost there and most text is passed over by running sums.
+candidate is verified by exact edit distance. Before a window is embedded, it must hold as many ``GRAM``-word sequences of items of
+its length as the edits that are allowed can leave (each changes ``GRAM`` of them), so no match is lost there and most text is
+passed over by running sums; of overlapping windows those that hold the most are embedded.
 
 Items are sent to the tasks in parts of bounded size, texts never move.
 """
@@ -20,17 +21,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from doctables.llm.common import MULTIPLIER, column, mixed, slices, words_of
+from doctables.llm.common import MULTIPLIER, column, mixed, slices, window_hashes, words_of
 
 #: Edits (word inserted, deleted or replaced) per 100 words of an item, and the fewest words of an item that is looked for.
 EDIT_PERCENT = 25
 LEAST_WORDS = 8
 #: Walks, places sampled per key, and what share of places of a window with all its edits is taken to agree.
 WALKS, SAMPLED, AGREEMENT, RECALL = 16, 2, 0.2, 0.99
+GRAM = 3
 TABLES = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREEMENT ** SAMPLED) / WALKS)
 #: Text of the benchmark that is sent to the tasks at once.
 PART_CHARS = 4 << 20
-PAIR_BITS = 1 << 22
+MOST_SLOTS = 1 << 22
 BLOCK = 12
 
 _PLAIN = re.compile(r"[\W_]+")
@@ -47,17 +49,13 @@ def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values[values != 0], kept[starts]
 
 
-def _pairs(values: np.ndarray) -> np.ndarray:
-    return (mixed(values[:-1] * MULTIPLIER + values[1:]) >> np.uint64(20)).astype(np.int64) & (PAIR_BITS - 1)
-
-
 def allowed(words: int) -> int:
     return words * EDIT_PERCENT // 100
 
 
 def needed(words: int) -> int:
-    """Word pairs of an item that a window with the allowed edits still holds."""
-    return words - 1 - 2 * allowed(words)
+    """Word sequences of an item that a window with the allowed edits still holds."""
+    return max(1, words - GRAM + 1 - GRAM * allowed(words))
 
 
 def keys_of(windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -98,13 +96,18 @@ class Items:
     """A part of the benchmark, prepared for lookup."""
     ids: list
     words: list[np.ndarray]
-    pairs: np.ndarray
+    marks: np.ndarray  # per slot of a hashed word sequence: a bit for each length (modulo 64) of the items that hold it
     lengths: np.ndarray  # the different lengths
+    needed: np.ndarray  # per length
     block_need: int
     keys: np.ndarray  # sorted
     owner: np.ndarray
 
 
+def _slots(values: np.ndarray, slots: int) -> np.ndarray:
+    return (window_hashes(values, GRAM) >> np.uint64(20)).astype(np.int64) & (slots - 1)
+
+
 def prepare(ids: list, texts: list[str]) -> Items | None:
     values, starts = plain_words(pa.array(texts, pa.string()))
     own = [(i, values[a:b]) for i, a, b in zip(ids, starts[:-1], starts[1:]) if b - a >= LEAST_WORDS]
@@ -112,9 +115,10 @@ def prepare(ids: list, texts: list[str]) -> Items | None:
         return None
     words = [w for _, w in own]
     lengths = np.array([len(w) for w in words])
-    pairs = np.zeros(PAIR_BITS, bool)
+    slots = min(MOST_SLOTS, 1 << int(64 * lengths.sum() - 1).bit_length())
+    marks = np.zeros(slots, np.uint64)
     for w in words:
-        pairs[_pairs(w)] = True
+        marks[_slots(w, slots)] |= np.uint64(1) << np.uint64(len(w) % 64)
     keys, owner = [], []
     for at in range(0, len(words), 2000):
         some = words[at:at + 2000]
@@ -126,35 +130,40 @@ def prepare(ids: list, texts: list[str]) -> Items | None:
         owner.append(np.repeat(np.arange(at, at + len(some)), found.shape[1]))
     keys, owner = np.concatenate(keys), np.concatenate(owner)
     order = np.argsort(keys, kind="stable")
-    block_need = min(-(-needed(n) // -(-(n - 1) // BLOCK)) for n in set(lengths.tolist()))
-    return Items([i for i, _ in own], words, pairs, np.unique(lengths), max(1, block_need), keys[order], owner[order])
-
-
-def _windows(hits: np.ndarray, items: Items) -> list[tuple[int, int]]:
-    """``(start, length)`` of the windows of one text that hold enough of the items' word pairs."""
-    sums = np.concatenate([[0], np.cumsum(hits)])
-    out = []
-    for n in items.lengths.tolist():
-        if n - 1 <= len(hits):
-            start = np.flatnonzero(sums[n - 1:] - sums[: len(sums) - n + 1] >= needed(n))
-            out += [(s, n) for s in start.tolist()]
-        elif sums[-1] >= needed(n):
-            out.append((0, n))  # a text somewhat shorter than the item is a window itself
+    block_need = min(-(-needed(n) // -(-(n - GRAM + 1) // BLOCK)) for n in set(lengths.tolist()))
+    return Items([i for i, _ in own], words, marks, np.unique(lengths), np.array([needed(n) for n in np.unique(lengths).tolist()]), max(1, block_need), keys[order], owner[order])
+
+
+def _windows(marks: np.ndarray, items: Items) -> list[tuple[int, int]]:
+    """``(start, length)`` of the windows of one text that hold enough of the items' word sequences, and most among their neighbours."""
+    out, found = [], marks[marks != 0]
+    total = ((found[:, None] >> (items.lengths % 64).astype(np.uint64)) & np.uint64(1)).sum(axis=0)
+    for n in items.lengths[total >= items.needed].tolist():
+        sums = np.concatenate([[0], np.cumsum((marks >> np.uint64(n % 64)) & np.uint64(1), dtype=np.int64)])
+        width, near = n - GRAM + 1, allowed(n)
+        held = sums[width:] - sums[:-width] if width <= len(marks) else sums[-1:]  # a text somewhat shorter is a window itself
+        best = held
+        for step in range(1, near + 1):
+            best = np.maximum(best, np.concatenate([held[step:], np.zeros(min(step, len(held)), np.int64)]))
+            best = np.maximum(best, np.concatenate([np.zeros(min(step, len(held)), np.int64), held[:-step]])[: len(held)])
+        out += [(s, n) for s in np.flatnonzero((held >= needed(n)) & (held == best)).tolist()]
     return out
 
 
 def find_items(texts: pa.Array, items: Items) -> list[tuple[int, int, int, int, int]]:
     """``(text, item, distance, start, end)`` of the best match of each item in each text, within the allowed edits."""
     values, starts = plain_words(texts)
-    if len(values) < 2:
+    if len(values) < GRAM:
         return []
-    hits = items.pairs[_pairs(values)]
-    hits[(starts[1:-1] - 1)[(starts[1:-1] > 0) & (starts[1:-1] < len(values))]] = False  # pairs over the edge of two texts
-    sums = np.concatenate([[0], np.cumsum(hits)])
-    ahead = np.minimum(np.arange(len(hits)) + BLOCK, len(hits))
+    marks = items.marks[_slots(values, len(items.marks))]
+    for back in range(1, GRAM):  # sequences over the edge of two texts
+        edge = starts[1:-1] - back
+        marks[edge[(edge >= 0) & (edge < len(marks))]] = 0
+    sums = np.concatenate([[0], np.cumsum(marks != 0)])
+    ahead = np.minimum(np.arange(len(marks)) + BLOCK, len(marks))
     dense = np.flatnonzero(sums[ahead] - sums[:-1] >= items.block_need)
     near = np.unique(np.searchsorted(starts, dense, side="right") - 1)
-    found = [(t, s, n) for t in near.tolist() for s, n in _windows(hits[starts[t]:max(starts[t], starts[t + 1] - 1)], items)]
+    found = [(t, s, n) for t in near.tolist() for s, n in _windows(marks[starts[t]:max(starts[t], starts[t + 1] - GRAM + 1)], items)]
     candidates: dict[tuple[int, int], list[int]] = {}
     for at in range(0, len(found), 4000):
         some = found[at:at + 4000]
