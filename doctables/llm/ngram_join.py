@@ -4,10 +4,11 @@ A text is the set of its distinct word n-grams. Texts with equal sets are one cl
 joined. All sets are written in one global order, rare n-grams first, so that two sets of the wanted similarity must share one of
 their first ones: the root edges of a trie, whose subtrees are spread over the tasks by that n-gram.
 
-1. In each subtree every set meets the first one of it. Such pairs grow with the sets, not with their pairs. They are checked
-   exactly and linked; copies with small changes become one component here, however many they are.
-2. Then each subtree that still holds several components gives the pairs of sets from different ones, as far as sizes and
-   places in the order leave room for the overlap. They are checked too, and no link between components is missed.
+1. In each subtree every set meets the first one of it, the one with the fewest n-grams of its own, and is paired with the one that
+   it meets most often: one pair a set, which is
+   checked exactly. Copies with small changes become one component here, however many they are.
+2. Then each subtree that still holds several components gives the pairs of sets from different ones. Those that share as many of
+   their first n-grams as the overlap takes are checked too, and no link between components is missed.
 
 Pairs are checked in tries: the partners of one set are stored in a radix tree of their ordered n-grams, and the set walks it with
 shared partial overlaps, leaving a subtree as soon as the lengths that remain cannot reach the overlap.
@@ -70,13 +71,17 @@ class Order:
         self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
     def sort(self, ngrams: np.ndarray) -> np.ndarray:
+        return self.place(ngrams)[0]
+
+    def place(self, ngrams: np.ndarray) -> tuple[np.ndarray, int]:
+        """The n-grams in order, and how many of them are not frequent."""
         maybe = self.seen[(ngrams >> np.uint64(44)).astype(np.int64)]
         if not maybe.any() or not len(self.keys):
-            return ngrams
+            return ngrams, len(ngrams)
         at = np.minimum(np.searchsorted(self.keys, ngrams[maybe]), len(self.keys) - 1)
         rank = np.zeros(len(ngrams), np.int64)
         rank[maybe] = np.where(self.keys[at] == ngrams[maybe], self.counts[at], 0)
-        return ngrams[np.argsort(rank, kind="stable")]
+        return ngrams[np.argsort(rank, kind="stable")], int((rank == 0).sum())
 
 
 @dataclass(slots=True)
@@ -142,50 +147,54 @@ def _summaries(n: int, sample: int):
 
 
 def _prefixes(n: int, percent: int, order):
-    """Rows ``(ngram, sid, n, place)`` of each distinct set's prefix; sets that a task sees twice give them once."""
+    """Rows ``(ngram, sid, n, own)`` of each distinct set's prefix; sets that a task sees twice give them once."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches):
-            parts, sids, sizes = [], [], []
+            parts, sids, sizes, rare = [], [], [], []
             for s in ngram_sets(column(batch, "text"), n):
                 sid = fingerprint(s)
                 if sid >= 0 and sid not in seen:
                     if len(seen) < 1 << 18:
                         seen.add(sid)
-                    parts.append(order.value.sort(s)[: len(s) - -(-percent * len(s) // 100) + 1])
+                    ordered, own = order.value.place(s)
+                    parts.append(ordered[: len(s) - -(-percent * len(s) // 100) + 1])
                     sids.append(sid)
                     sizes.append(len(s))
+                    rare.append(own)
             if parts:
                 lengths = np.array([len(p) for p in parts])
-                place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 yield pa.RecordBatch.from_arrays([signed(np.concatenate(parts)), pa.array(np.repeat(sids, lengths)), pa.array(np.repeat(sizes, lengths).astype(np.int32)),
-                                                  pa.array(place.astype(np.int32))], ["ngram", "sid", "n", "place"])
+                                                  pa.array(np.repeat(rare, lengths).astype(np.int32))], ["ngram", "sid", "n", "own"])
     return run
 
 
 def _verifier(n: int, percent: int, order):
     """Groups of rows ``(a, chunk, own, sid, text)`` in order: the set ``a`` itself first, then its partners."""
-    def group(rows: list[tuple]) -> list[tuple[int, int]]:
-        sets = ngram_sets(pa.array([r[4] for r in rows], pa.string()), n)
-        if not rows[0][2]:
-            return []  # no such text among the documents
+    def linked(a: int, own: np.ndarray, sids: list[int], partners: list[np.ndarray]) -> list[tuple[int, int]]:
         # frequent n-grams first in the trie: similar texts share long runs from the root
-        trie = build_trie([(order.value.sort(s)[::-1], k) for k, s in enumerate(sets[1:], 1)]) if len(rows) > 1 else None
-        return [(rows[0][0], rows[k][3]) for k, _ in trie_links(trie, sets[0], percent)] if trie else []
+        trie = build_trie([(order.value.sort(s)[::-1], k) for k, s in enumerate(partners)])
+        return [(a, sids[k]) for k, _ in trie_links(trie, own, percent)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for batch in batches:
+        key, own, sids, partners = None, None, [], []
+        for batch in slices(batches):
             found: list[tuple[int, int]] = []
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and rows[0][:2] != r[:2]:
-                    found += group(rows)
-                    rows = []
-                rows.append(r)
+            columns = [column(batch, c).to_pylist() for c in ("a", "chunk", "own", "sid")]
+            for a, chunk, first, sid, ngrams in zip(*columns, ngram_sets(column(batch, "text"), n)):
+                if key != (a, chunk):
+                    if own is not None and partners:
+                        found += linked(key[0], own, sids, partners)
+                    key, own, sids, partners = (a, chunk), None, [], []
+                if first:
+                    own = ngrams
+                else:
+                    sids.append(sid)
+                    partners.append(ngrams)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-        if rows and (found := group(rows)):
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+        if own is not None and partners and (found := linked(key[0], own, sids, partners)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
     return run
 
 
@@ -229,24 +238,27 @@ def link_documents(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> D
     places = rows.where("sid >= 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
 
     docs = docs.where("doc_id is not null")
-    prefix = docs.mapInArrow(_prefixes(n, percent, order), "ngram long, sid long, n int, place int").withColumns({c: F.col(c).cast("long") for c in ("n", "place")})
+    prefix = docs.mapInArrow(_prefixes(n, percent, order), "ngram long, sid long, n int, own int").withColumn("n", F.col("n").cast("long"))
     tree = Window.partitionBy("ngram")
     several = lambda df, of: df.withColumn("lowest", F.min(of).over(tree)).withColumn("highest", F.max(of).over(tree)).where("lowest < highest").drop("lowest", "highest")
-    subtrees = written(several(prefix.withColumn("first", F.min(F.struct("n", "sid")).over(tree)), "sid"), "subtrees")
+    subtrees = written(several(prefix.withColumn("first", F.min(F.struct("own", "n", "sid")).over(tree)), "sid").drop("own"), "subtrees")
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    stars = subtrees.where((F.col("sid") != F.col("first.sid")) & fits(F.col("n"), F.col("first.n"))).select(
-        F.col("first.sid").alias("a"), F.col("sid").alias("b")).distinct()
+    # shared n-grams that two prefixes need: what is not in both lies behind the shorter-reaching one
+    rest = F.ceil(percent * F.greatest("n", "n_b") / 100) - 1
+    need = F.greatest(F.ceil(percent * (F.col("n") + F.col("n_b")) / (100 + percent)) - rest, F.lit(1))
+    # the first set that a set shares most with; which ones are tried here changes no result, only how much is left for step 2
+    met = (subtrees.where((F.col("sid") != F.col("first.sid")) & fits(F.col("n"), F.col("first.n")))
+           .groupBy(F.col("first.sid").alias("a"), F.col("first.n").alias("n_b"), F.col("sid").alias("b"), "n").agg(F.count("*").alias("shared")))
+    stars = met.where(4 * F.col("shared") >= need).groupBy("b").agg(F.max(F.struct("shared", "a")).alias("most")).select("most.a", "b")
     links = written(verified(stars, docs, places, n, percent, order), "links")
     roots = written(components(links), "roots")
 
     labelled = subtrees.drop("first").join(roots.withColumnRenamed("v", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed_trees = written(several(labelled, "root").distinct(), "mixed")
-    other = mixed_trees.select("ngram", *(F.col(c).alias(f"{c}_b") for c in ("sid", "n", "place", "root")))
-    room = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("n_b") - F.col("place_b") - 1)
+    other = mixed_trees.select("ngram", *(F.col(c).alias(f"{c}_b") for c in ("sid", "n", "root")))
     crossing = (mixed_trees.join(other, "ngram").where((F.col("root") < F.col("root_b")) & fits(F.col("n"), F.col("n_b")))
-                .withColumn("room", room).groupBy(F.col("sid").alias("a"), F.col("sid_b").alias("b"), "n", "n_b")
-                .agg(F.max("room").alias("room")))
-    crossing = crossing.where((100 + percent) * F.col("room") >= percent * (F.col("n") + F.col("n_b"))).select("a", "b")
+                .groupBy(F.col("sid").alias("a"), F.col("sid_b").alias("b"), "n", "n_b").agg(F.count("*").alias("shared"))
+                .where(F.col("shared") >= need).select("a", "b"))
     more = written(verified(crossing, docs, places, n, percent, order), "more-links")
     all_roots = written(components(links.union(more)), "all-roots")
 
