@@ -30,7 +30,7 @@ PASSAGE = 16
 CALIBRATION_SHARE, CALIBRATION_ROWS = 8, 40_000
 THRESHOLD = 0.3
 #: Word scores kept per Python worker.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 200_000
 
 FIRST, LAST = "\x02", "\x03"
 _NO_LETTER = re.compile(r"[\W\d_]+")
@@ -252,13 +252,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     train = written(labelled_texts(docs, labels), "labelled")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION_SHARE))
     scorer = Scorer(docs.sparkSession, fit_language_models(train.where(part != 0).select("text", "toxic")))
-    some = train.where(part == 0).orderBy(F.xxhash64(F.lit(1), "doc_id")).limit(CALIBRATION_ROWS).select("text", F.col("toxic").alias("label"))
+    some = train.where(part == 0).select(F.xxhash64(F.lit(1), "doc_id").alias("h"), "text", F.col("toxic").alias("label"))
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = scorer.features(column(batch, "text"))
-            yield pa.RecordBatch.from_arrays([column(batch, "label"), *(pa.array(x[:, i]) for i in range(x.shape[1]))], ["label", "f0", "f1", "f2", "f3"])
-    rows = some.mapInArrow(measure, "label int, f0 double, f1 double, f2 double, f3 double").toPandas()
+            yield pa.RecordBatch.from_arrays([column(batch, "h"), column(batch, "label"), *(pa.array(x[:, i]) for i in range(x.shape[1]))], ["h", "label", "f0", "f1", "f2", "f3"])
+    # features, not texts, are what the bounded sample gathers
+    rows = some.mapInArrow(measure, "h long, label int, f0 double, f1 double, f2 double, f3 double").orderBy("h", "label", "f0").limit(CALIBRATION_ROWS).toPandas()
     scorer.weights = fit_logistic(rows[["f0", "f1", "f2", "f3"]].to_numpy(), rows["label"].to_numpy(float))
     return scorer
 
