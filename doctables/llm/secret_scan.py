@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
-from doctables.llm.common import column
+from doctables.llm.common import column, free_name, slices, written
 from doctables.session import scratch_path
 
 #: kind -> (pattern, group whose length counts, least length); letters of ``assign`` keys are in either case
@@ -51,7 +51,7 @@ def _scanner(rules: dict):
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = compile_rules(rules)
-        for batch in batches:
+        for batch in slices(batches):
             found = [find_secrets(t, compiled) for t in column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "blob"), pa.array(found, pa.list_(kind))], ["blob", "findings"])
     return scan
@@ -92,7 +92,8 @@ def scan_versions(versions: DataFrame, ledger: str, paths: tuple[str, ...] = ("d
 
     ``text`` null or empty: no findings. Repeated rows each get a row. An empty table gives no rows; other columns are ignored.
     """
-    found = update_ledger(versions, ledger, rules).where(F.size("findings") > 0)
+    # stored, so that the join is one that Spark can send whole or split at an often repeated blob
+    found = written(update_ledger(versions, ledger, rules).where(F.size("findings") > 0), "found")
     placed = versions.select(*paths, address().alias("_blob"))
     return (placed.join(found.select(F.col("blob").alias("_blob"), "findings"), "_blob", "left")
             .select(*paths, F.coalesce("findings", F.expr(f"cast(array() as array<{FINDING}>)")).alias("findings")))
@@ -108,19 +109,19 @@ def redact(text: str, findings: list, mark: str = "[{}]") -> str:
     return "".join(out) + text[at:]
 
 
-def _redactor(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [redact(t, f) if f else t for t, f in zip(column(batch, "text").to_pylist(), column(batch, "_findings").to_pylist())]
-        arrays = [pa.array(texts, pa.string()) if n == "text" else column(batch, n) for n in batch.schema.names if n != "_findings"]
-        yield pa.RecordBatch.from_arrays(arrays, [n for n in batch.schema.names if n != "_findings"])
-
-
 def redact_documents(docs: DataFrame, ledger: str, rules: dict = RULES) -> DataFrame:
     """All rows and columns of ``docs``; texts with findings are redacted, and ``n_chars``, where there is one, follows."""
-    found = update_ledger(docs, ledger, rules).where(F.size("findings") > 0)
-    # only blobs with findings take part; the written ledger has a known size, so Spark picks the join
-    joined = docs.withColumn("_blob", address()).join(found.select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings")), "_blob", "left").drop("_blob")
-    out = joined.mapInArrow(_redactor, docs.schema)
+    blob, findings = free_name(docs, "_blob"), free_name(docs, "_findings")
+
+    def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = [redact(t, f) if f else t for t, f in zip(column(batch, "text").to_pylist(), column(batch, findings).to_pylist())]
+            names = [n for n in batch.schema.names if n != findings]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else column(batch, n) for n in names], names)
+    # only blobs with findings take part; the stored table has a known size, so Spark picks the join
+    found = written(update_ledger(docs, ledger, rules).where(F.size("findings") > 0).select(F.col("blob").alias(blob), F.col("findings").alias(findings)), "found")
+    joined = docs.withColumn(blob, address()).join(found, blob, "left").drop(blob)
+    out = joined.mapInArrow(put, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out
