@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from doctables.session import scratch_path
 
 #: Text bytes that one numpy step works on; a longer document is one step of its own.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -38,6 +40,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Let a Python worker wait for its next task without the memory of this one."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each has about ``limit`` bytes of text."""
     for batch in batches:
@@ -49,6 +58,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         for a, b in zip(edges, edges[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    give_back()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

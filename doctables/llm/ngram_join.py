@@ -211,12 +211,13 @@ def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, n: int, perce
     bitmap = spark.sparkContext.broadcast(Bitmap(needed, "doc_id"))
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(bitmap.value.hit(column(batch, "slot").to_numpy(zero_copy_only=False)))).select(["doc_id", "text"])
-    texts = docs.withColumn("slot", bitmap.value.slots("doc_id")).mapInArrow(pick, "doc_id long, text string")
-
+        some = (b.filter(pa.array(bitmap.value.hit(column(b, "slot").to_numpy(zero_copy_only=False)))) for b in batches)
+        for batch in slices(some):
+            sids = [fingerprint(s) for s in ngram_sets(column(batch, "text"), n)]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text"), pa.array(sids, pa.int64())], ["doc_id", "text", "sid"])
     # the id and the set: rows of an id that was given to several texts do not mix
-    texts = set_ids(texts, "sid", n).join(needed, ["sid", "doc_id"]).groupBy("sid").agg(F.first("text").alias("text"))
+    texts = docs.withColumn("slot", bitmap.value.slots("doc_id")).mapInArrow(pick, "doc_id long, text string, sid long")
+    texts = texts.join(needed, ["sid", "doc_id"]).groupBy("sid").agg(F.first("text").alias("text"))
     rows = wanted.join(texts, "sid").select("a", "chunk", "own", "sid", "text")
     return rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.desc("own"), "sid").mapInArrow(_verifier(n, percent, order), "a long, b long")
 
