@@ -2,12 +2,12 @@
 
 Suffixes are kept only where a text's own words choose them: at minimisers, the smallest hash of ``GRAM`` words among ``SPREAD``
 neighbouring places. A passage of ``MIN_WORDS`` words that stands in two places has the same minimisers in both, the first within
-its first ``SPREAD`` words, so ``SUFFIX`` words from there on lie inside it. Suffixes are sorted and compared by those words
-(as a 64-bit hash); each is compared with the first one of its run of equal neighbours, and the match is extended to the left and
-right, word by word. The next minimiser is at most ``SPREAD`` words away, so an extension never needs more than that.
+its first ``SPREAD`` words, so ``SUFFIX`` words from there on lie inside it. Suffixes that stand elsewhere too, compared by those
+words (as a 64-bit hash), show where such passages may be. There each window of ``MIN_WORDS`` words that begins at most
+``SPREAD - 1`` words before the suffix is compared as a whole, by a hash of its own, so that no shorter partner stands in for a longer one.
 
-Runs of equal suffixes are found by pre-aggregated counts, and members meet the first one in a join, so a passage that a third of all
-documents share is neither collected nor paired with itself.
+Runs of equal suffixes and windows are found by pre-aggregated counts, and windows meet the first one of their run in a join, so a
+passage that a third of all documents share is neither collected nor paired with itself.
 """
 
 from __future__ import annotations
@@ -59,67 +59,53 @@ def suffixes(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return window_hashes(values, SUFFIX)[at], of, at - starts[of], values, starts
 
 
-def _contexts(values: np.ndarray, starts: np.ndarray, of: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """16 bits per word for ``SPREAD`` words to the left, nearest first, and to the right of a suffix; 0 outside the text."""
-    short = (values % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
-    at = (starts[of] + place)[:, None]
-    left = at - 1 - np.arange(SPREAD)[None, :]
-    right = at + SUFFIX + np.arange(SPREAD)[None, :]
-    both = np.concatenate([np.where(left >= starts[of][:, None], short[np.maximum(left, 0)], 0),
-                           np.where(right < starts[of + 1][:, None], short[np.minimum(right, len(short) - 1)], 0)], axis=1)
-    return both.astype(np.uint16)
-
-
 def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         keys, *_ = suffixes(column(batch, "text"))
         yield pa.RecordBatch.from_arrays([signed(keys)], ["key"])
 
 
-def _rows(shared):
+def candidate_windows(at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows begin that hold a suffix of ``at`` within their first ``SPREAD`` words and lie in one text; and their text."""
+    steps = np.zeros(int(starts[-1]) + 1, np.int64)
+    np.add.at(steps, np.maximum(at - SPREAD + 1, 0), 1)
+    np.add.at(steps, at + 1, -1)
+    begin = np.flatnonzero(np.cumsum(steps) > 0)
+    of = np.searchsorted(starts, begin, side="right") - 1
+    inside = begin + MIN_WORDS <= starts[np.minimum(of + 1, len(starts) - 1)]
+    return begin[inside], of[inside]
+
+
+def _windows(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             keys, of, place, values, starts = suffixes(column(batch, "text"))
             hit = shared.value.has(keys)
-            keys, of, place = keys[hit], of[hit], place[hit]
-            around = _contexts(values, starts, of, place) if len(keys) else np.zeros((0, 2 * SPREAD), np.uint16)
-            context = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SPREAD), len(keys), [None, pa.py_buffer(np.ascontiguousarray(around))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([signed(keys), column(batch, "doc_id").take(pa.array(of)), pa.array(place.astype(np.int32)), context],
-                                             ["key", "doc_id", "place", "context"])
+            begin, of = candidate_windows((starts[of] + place)[hit], starts)
+            if len(begin):
+                yield pa.RecordBatch.from_arrays([signed(window_hashes(values, MIN_WORDS)[begin]), column(batch, "doc_id").take(pa.array(of)), pa.array((begin - starts[of]).astype(np.int32))],
+                                                 ["key", "doc_id", "place"])
     return run
 
 
-def _extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each match as spans of both documents, in words."""
-    def steps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.cumprod((a == b) & (a > 0), axis=1).sum(axis=1)
-
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint16).reshape(-1, 2 * SPREAD) for c in ("context", "h_context"))
-        left, right = steps(a[:, :SPREAD], b[:, :SPREAD]), steps(a[:, SPREAD:], b[:, SPREAD:])
-        first = column(batch, "h_doc_id")
-        for doc, place in (("doc_id", "place"), ("h_doc_id", "h_place")):
-            at = column(batch, place).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([column(batch, doc), pa.array(at - left), pa.array(at + SUFFIX + right), first], ["doc_id", "first", "last", "source"])
-
-
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``(doc_id, start, end, n_words, first_doc_id)``: the passages of at least ``MIN_WORDS`` words that also stand elsewhere.
 
-    Start and end (exclusive) count words ``[^\\x20\\x09-\\x0D]+`` of the text; overlapping matches of a document are one passage, with
-    the smallest document that a match led to, which is the one to keep. Rows with a null id, null and short texts give nothing;
+    Start and end (exclusive) count words ``[^\\x20\\x09-\\x0D]+`` of the text; overlapping windows of a document are one passage, with
+    the smallest document that a window led to, which is the one to keep. Rows with a null id, null and short texts give nothing;
     rows of one id are one document, so repeats of a row find nothing new. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     shared = written(docs.mapInArrow(_keys, "key long").groupBy("key").count().where("count > 1").select("key"), "shared-suffixes")
     bitmap = spark.sparkContext.broadcast(Bitmap(shared, "key", BITS, hashed=True))
-    rows = docs.mapInArrow(_rows(bitmap), "key long, doc_id long, place int, context binary")
-    heads = rows.groupBy("key").agg(F.min(F.struct("doc_id", "place", "context")).alias("h"), F.count("*").alias("n")).where("n > 1")
-    heads = written(heads.select("key", *(F.col(f"h.{c}").alias(f"h_{c}") for c in ("doc_id", "place", "context"))), "heads")
-    met = rows.join(heads, "key").where((F.col("doc_id") != F.col("h_doc_id")) | (F.col("place") != F.col("h_place")))
-    spans = met.drop("key").mapInArrow(_extend, "doc_id long, first long, last long, source long")
-    spans = written(spans.groupBy("doc_id", "first", "last").agg(F.min("source").alias("source")), "spans")
+    rows = docs.mapInArrow(_windows(bitmap), "key long, doc_id long, place int")
+    where = F.struct("doc_id", "place")
+    heads = rows.groupBy("key").agg(F.min(where).alias("h"), F.max(where).alias("other")).where("h < other")
+    heads = written(heads.select("key", F.col("h.doc_id").alias("source")), "heads")
+    # windows that begin within MIN_WORDS words overlap: they are one span
+    met = rows.join(heads, "key").groupBy("doc_id", F.expr(f"place div {MIN_WORDS}").alias("block"))
+    spans = written(met.agg(F.min("place").cast("long").alias("first"), (F.max("place") + MIN_WORDS).cast("long").alias("last"), F.min("source").alias("source")).drop("block"), "spans")
     order = Window.partitionBy("doc_id").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("new", (F.col("first") > F.coalesce(reach, F.lit(-1))).cast("int")).withColumn("island", F.sum("new").over(order))

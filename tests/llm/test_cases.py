@@ -82,6 +82,22 @@ def test_repeat_edges(spark):
     assert got == expected
 
 
+def test_repeats_beside_a_shorter_partner(spark):
+    """A smaller document that holds a part of a passage does not hide the passage that others share."""
+    rng = random.Random(3)
+    rows, expected, doc = [], {}, 0
+    for n, part in [(50, 49), (50, 40), (55, 49), (60, 49), (60, 35), (70, 49), (70, 55)] * 6:
+        passage, cut = [f"q{doc}x{i}" for i in range(n)], rng.randrange(n - part + 1)
+        for held in (passage[cut:cut + part], passage, passage):
+            before, after = ([f"r{rng.random()}" for _ in range(rng.randrange(30))] for _ in range(2))
+            rows.append((doc, " ".join(before + held + after)))
+            if len(held) >= 50:
+                expected[doc] = (len(before), len(before) + len(held))
+            doc += 1
+    got = {r.doc_id: (r.start, r.end) for r in repeats.repeated_passages(frame(spark, rows)).collect()}
+    assert got == expected
+
+
 def test_decontamination_of_odd_texts(spark, odd, none, items):
     assert decontaminate.contaminated(odd, items).count() == 0
     assert decontaminate.contaminated(none, items).count() == 0
