@@ -4,7 +4,8 @@ CGK walks turn an item and each item-sized window of a text into strings of thre
 differing places; bit sampling looks windows up by some of those places, in as many tables as the target recall takes; every
 candidate is verified by exact edit distance. Before a window is embedded, it must hold as many ``GRAM``-word sequences of items of
 its length as the edits that are allowed can leave (each changes ``GRAM`` of them), so no match is lost there and most text is
-passed over by running sums; of overlapping windows those that hold the most are embedded.
+passed over by running sums; what is left is embedded at a stride that is small against the allowed edits. The sums count sequences
+of all items of a length, so they do not tell which of two neighbours is an edited item and which another one's copy.
 
 Items are sent to the tasks in parts of bounded size, texts never move.
 """
@@ -58,6 +59,11 @@ def needed(words: int) -> int:
     return max(1, words - GRAM + 1 - GRAM * allowed(words))
 
 
+def stride(words: int) -> int:
+    """How far apart windows are embedded: small against the allowed edits, so that one lies close to each match."""
+    return max(1, allowed(words) // 4)
+
+
 def keys_of(windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The keys (windows x tables) of padded windows: CGK walks, then sampled places."""
     n, width = windows.shape
@@ -135,18 +141,16 @@ def prepare(ids: list, texts: list[str]) -> Items | None:
 
 
 def _windows(marks: np.ndarray, items: Items) -> list[tuple[int, int]]:
-    """``(start, length)`` of the windows of one text that hold enough of the items' word sequences, and most among their neighbours."""
+    """``(start, length)`` of windows of one text that hold enough of the items' word sequences: of each run of such windows the first and every few from there on."""
     out, found = [], marks[marks != 0]
     total = ((found[:, None] >> (items.lengths % 64).astype(np.uint64)) & np.uint64(1)).sum(axis=0)
     for n in items.lengths[total >= items.needed].tolist():
         sums = np.concatenate([[0], np.cumsum((marks >> np.uint64(n % 64)) & np.uint64(1), dtype=np.int64)])
-        width, near = n - GRAM + 1, allowed(n)
+        width = n - GRAM + 1
         held = sums[width:] - sums[:-width] if width <= len(marks) else sums[-1:]  # a text somewhat shorter is a window itself
-        best = held
-        for step in range(1, near + 1):
-            best = np.maximum(best, np.concatenate([held[step:], np.zeros(min(step, len(held)), np.int64)]))
-            best = np.maximum(best, np.concatenate([np.zeros(min(step, len(held)), np.int64), held[:-step]])[: len(held)])
-        out += [(s, n) for s in np.flatnonzero((held >= needed(n)) & (held == best)).tolist()]
+        enough = held >= needed(n)
+        first = np.maximum.accumulate(np.where(enough & ~np.concatenate([[False], enough[:-1]]), np.arange(len(held)), 0))
+        out += [(s, n) for s in np.flatnonzero(enough & ((np.arange(len(held)) - first) % stride(n) == 0)).tolist()]
     return out
 
 

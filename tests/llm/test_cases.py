@@ -108,6 +108,22 @@ def test_decontamination_of_odd_texts(spark, odd, none, items):
     assert [r.doc_id for r in decontaminate.drop_contaminated(hit, items).collect()] == [3]
 
 
+def test_decontamination_beside_a_better_match(spark):
+    """An edited item next to an exact copy of another one of its length is found too."""
+    items = {i: [f"i{i}x{j}" for j in range(40)] for i in (1, 2)}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    rows, expected = [], set()
+    for edits in (6, 8, 10):
+        for gap in (0, 2, 5):
+            for turned in (False, True):
+                edited = [f"e{j}" if j % (40 // edits) == 1 and j // (40 // edits) < edits else w for j, w in enumerate(items[1])]
+                parts = [edited, [f"g{j}" for j in range(gap)], items[2]]
+                rows.append((len(rows), " ".join(w for part in (parts[::-1] if turned else parts) for w in part)))
+                expected |= {(rows[-1][0], 1, edits), (rows[-1][0], 2, 0)}
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert got == expected
+
+
 def test_urls(spark):
     urls = [(1, None), (2, ""), (3, "http://A.b.NET/x?y=/z"), (4, "no scheme.net/"), (5, "ftp://net"), (6, "http://x.example.net/en/1#a"), (7, "http://xexample.net/en/"), (8, "http://h/p://q.org/fr/"), (9, "http://" + "a." * 5000 + "org/fr/" + "z" * 5000), (None, "http://net/"), (6, "http://x.example.net/en/1#a")]
     df = spark.createDataFrame(urls, "page_id long, url string").withColumn("key", F.lit("k")).withColumn("verdict", F.lit("v"))
