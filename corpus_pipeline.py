@@ -23,17 +23,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; repeated rows of an id with equal words become one."""
-    links = written(link_documents(docs).select("doc_id", "component_id"), "pipeline-links")
-    # both lists are stored: Spark knows their size when it picks the join
+    """Of each group of linked rows the one with the smallest id stays; of several texts of that id in a group the one with the smallest set id."""
+    links = written(link_documents(docs).select("doc_id", "component_id", "sid", "root"), "pipeline-links")
+    # the lists are stored: Spark knows their size when it picks the join
     gone = written(links.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
     repeated = written(links.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "pipeline-repeated")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if not repeated.isEmpty():
-        sid = free_name(docs, "_sid")
-        again = set_ids(kept.join(repeated, "doc_id", "left_semi"), sid).dropDuplicates(["doc_id", sid]).drop(sid)
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again)
-    return kept.select(docs.columns)
+    if repeated.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # rows of one id may have different texts, which are judged by their sets
+    sid = free_name(docs, "_sid")
+    stay = links.join(repeated, "doc_id", "left_semi").where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("sid").alias(sid))
+    stay = written(stay.select("doc_id", sid), "pipeline-stay")
+    again = set_ids(docs.join(repeated, "doc_id", "left_semi"), sid).join(stay, ["doc_id", sid], "left_semi").dropDuplicates(["doc_id", sid]).drop(sid)
+    once = docs.join(repeated, "doc_id", "left_anti").join(gone, "doc_id", "left_anti")
+    return once.select(docs.columns).unionByName(again.select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -223,7 +223,8 @@ def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, n: int, perce
 
 
 def link_documents(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs (doc_id, text)``: doc_id, n_shingles, component_id and ``sid``, the id of its n-gram set.
+    """One row per row of ``docs (doc_id, text)``: doc_id, n_shingles, component_id, ``sid``, the id of its n-gram set, and ``root``,
+    the set that stands for its component (two components of one component_id differ in it; -1 without words).
 
     Texts are linked if ``100 * intersection >= percent * union`` of their sets; component_id is the smallest doc_id that links
     reach. Null and empty texts, and those without words, are linked with nothing. Rows with a null id take no part and have a null
@@ -266,7 +267,7 @@ def link_documents(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> D
     known = rows.select("doc_id", "sid", "n").join(all_roots.withColumnRenamed("v", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = written(known.where("sid >= 0 and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("component")), "least")
     return known.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"),
-                                                    F.when(F.col("doc_id").isNull() | (F.col("sid") < 0), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "sid")
+                                                    F.when(F.col("doc_id").isNull() | (F.col("sid") < 0), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "sid", "root")
 
 
 def set_ids(docs: DataFrame, name: str, n: int = NGRAM) -> DataFrame:

@@ -342,6 +342,16 @@ def test_pipeline_stages(spark, odd, none, tmp_path, labels, items):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "packing"]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id are judged by their texts."""
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(60)) for c in "abcd")
+    rows = [(1, one), (2, one + " end"), (2, two), (3, three), (3, three + " end"), (3, four), (3, four), (4, ""), (4, None), (4, four + " end"), (None, one), (None, one), (5, two + " end"), (6, "own text")]
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()), key=str)
+    ids = sorted((d, (t or "")[:1]) for d, t in left if d is not None)
+    assert ids == [(1, "a"), (2, "b"), (3, "c"), (3, "d"), (4, ""), (6, "o")]
+    assert [t for d, t in left if d is None] == [one, one]
+
+
 def test_pipeline(spark):
     folder = "/root/testdata/sf0.001"
     packed = corpus_pipeline.run(spark, folder)
