@@ -7,6 +7,9 @@ its length as the edits that are allowed can leave (each changes ``GRAM`` of the
 passed over by running sums; what is left is embedded at a stride that is small against the allowed edits. The sums count sequences
 of all items of a length, so they do not tell which of two neighbours is an edited item and which another one's copy.
 
+Items of fewer than ``LEAST_WORDS`` words, where an edit makes another item, are looked for as they stand, by a hash of their words. A
+character of a script that is written without blanks counts as a word.
+
 Items are sent to the tasks in parts of bounded size, texts never move.
 """
 
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from doctables.llm.common import MULTIPLIER, column, mixed, slices, window_hashes, words_of
 
-#: Edits (word inserted, deleted or replaced) per 100 words of an item, and the fewest words of an item that is looked for.
+#: Edits (word inserted, deleted or replaced) per 100 words of an item, and the fewest words of an item that may have any.
 EDIT_PERCENT = 25
 LEAST_WORDS = 8
 #: Walks, places sampled per key, and what share of places of a window with all its edits is taken to agree.
@@ -37,26 +40,40 @@ MOST_SLOTS = 1 << 22
 BLOCK = 12
 
 _PLAIN = re.compile(r"[\W_]+")
+#: Characters of scripts without blanks: Thai, Lao, Myanmar, Khmer, kana, Han.
+_BLANKLESS = "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_PIECES = re.compile(f"[{_BLANKLESS}]|[^{_BLANKLESS}]+")
 
 
 def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words without case and punctuation, and where each text's words start."""
     words, starts = words_of(texts)
+    if not len(words):
+        return np.zeros(0, np.uint64), starts
     coded = words.dictionary_encode()
-    forms = (_PLAIN.sub("", w.lower()) for w in coded.dictionary.to_pylist())
-    of = np.fromiter((xxhash.xxh3_64_intdigest(f) if f else 0 for f in forms), np.uint64, len(coded.dictionary))
-    values = of[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
-    kept = np.concatenate([[0], np.cumsum(values != 0)])
-    return values[values != 0], kept[starts]
+    forms = [_PLAIN.sub("", w.lower()) for w in coded.dictionary.to_pylist()]
+    pieces = [([f] if f else []) if f.isascii() else _PIECES.findall(f) for f in forms]
+    counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    of = np.fromiter((xxhash.xxh3_64_intdigest(p) for own in pieces for p in own), np.uint64, int(counts.sum()))
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    kept = np.concatenate([[0], np.cumsum(counts[at])])
+    within = np.arange(kept[-1]) - np.repeat(kept[:-1], counts[at])
+    return of[np.repeat((np.cumsum(counts) - counts)[at], counts[at]) + within], kept[starts]
 
 
 def allowed(words: int) -> int:
-    return words * EDIT_PERCENT // 100
+    return words * EDIT_PERCENT // 100 if words >= LEAST_WORDS else 0
+
+
+def gram_of(words: int) -> int:
+    """The length of the word sequences that an item is known by: ``GRAM``, or the longest that the allowed edits leave one of."""
+    return next(g for g in range(GRAM, 0, -1) if words - g + 1 - g * allowed(words) >= 1)
 
 
 def needed(words: int) -> int:
     """Word sequences of an item that a window with the allowed edits still holds."""
-    return max(1, words - GRAM + 1 - GRAM * allowed(words))
+    gram = gram_of(words)
+    return words - gram + 1 - gram * allowed(words)
 
 
 def stride(words: int) -> int:
@@ -98,55 +115,77 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 @dataclass
-class Items:
-    """A part of the benchmark, prepared for lookup."""
-    ids: list
-    words: list[np.ndarray]
+class Sequences:
+    """The word sequences of all items that are known by sequences of one length."""
+    gram: int
     marks: np.ndarray  # per slot of a hashed word sequence: a bit for each length (modulo 64) of the items that hold it
     lengths: np.ndarray  # the different lengths
     needed: np.ndarray  # per length
     block_need: int
+
+
+@dataclass
+class Items:
+    """A part of the benchmark, prepared for lookup."""
+    ids: list
+    words: list[np.ndarray]
+    sequences: list[Sequences]
     keys: np.ndarray  # sorted
     owner: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # per number of words: sorted hashes of the items below LEAST_WORDS, and their places
+
 
+def _slots(values: np.ndarray, slots: int, gram: int) -> np.ndarray:
+    return (window_hashes(values, gram) >> np.uint64(20)).astype(np.int64) & (slots - 1)
 
-def _slots(values: np.ndarray, slots: int) -> np.ndarray:
-    return (window_hashes(values, GRAM) >> np.uint64(20)).astype(np.int64) & (slots - 1)
+
+def _sequences(words: list[np.ndarray], gram: int) -> Sequences:
+    lengths = np.array([len(w) for w in words])
+    slots = min(MOST_SLOTS, 1 << int(64 * lengths.sum() - 1).bit_length())
+    marks = np.zeros(slots, np.uint64)
+    for w in words:
+        marks[_slots(w, slots, gram)] |= np.uint64(1) << np.uint64(len(w) % 64)
+    block_need = min(-(-needed(n) // -(-(n - gram + 1) // BLOCK)) for n in set(lengths.tolist()))
+    return Sequences(gram, marks, np.unique(lengths), np.array([needed(n) for n in np.unique(lengths).tolist()]), max(1, block_need))
 
 
 def prepare(ids: list, texts: list[str]) -> Items | None:
     values, starts = plain_words(pa.array(texts, pa.string()))
-    own = [(i, values[a:b]) for i, a, b in zip(ids, starts[:-1], starts[1:]) if b - a >= LEAST_WORDS]
+    own = [(i, values[a:b]) for i, a, b in zip(ids, starts[:-1], starts[1:]) if b > a]
     if not own:
         return None
     words = [w for _, w in own]
     lengths = np.array([len(w) for w in words])
-    slots = min(MOST_SLOTS, 1 << int(64 * lengths.sum() - 1).bit_length())
-    marks = np.zeros(slots, np.uint64)
-    for w in words:
-        marks[_slots(w, slots)] |= np.uint64(1) << np.uint64(len(w) % 64)
-    keys, owner = [], []
-    for at in range(0, len(words), 2000):
-        some = words[at:at + 2000]
-        table = np.zeros((len(some), max(map(len, some))), np.uint64)
-        for k, w in enumerate(some):
-            table[k, :len(w)] = w
-        found = keys_of(table, lengths[at:at + 2000])
+    long, short = np.flatnonzero(lengths >= LEAST_WORDS), {}
+    for n in np.unique(lengths[lengths < LEAST_WORDS]).tolist():
+        at = np.flatnonzero(lengths == n)
+        hashes = np.concatenate([window_hashes(words[k], n) for k in at])
+        order = np.argsort(hashes, kind="stable")
+        short[n] = hashes[order], at[order]
+    keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(long), 2000):
+        some = long[at:at + 2000]
+        table = np.zeros((len(some), int(lengths[some].max())), np.uint64)
+        for k, i in enumerate(some):
+            table[k, :lengths[i]] = words[i]
+        found = keys_of(table, lengths[some])
         keys.append(found.ravel())
-        owner.append(np.repeat(np.arange(at, at + len(some)), found.shape[1]))
+        owner.append(np.repeat(some, found.shape[1]))
     keys, owner = np.concatenate(keys), np.concatenate(owner)
     order = np.argsort(keys, kind="stable")
-    block_need = min(-(-needed(n) // -(-(n - GRAM + 1) // BLOCK)) for n in set(lengths.tolist()))
-    return Items([i for i, _ in own], words, marks, np.unique(lengths), np.array([needed(n) for n in np.unique(lengths).tolist()]), max(1, block_need), keys[order], owner[order])
+    grams: dict[int, list] = {}
+    for i in long:
+        grams.setdefault(gram_of(int(lengths[i])), []).append(words[i])
+    return Items([i for i, _ in own], words, [_sequences(w, g) for g, w in grams.items()], keys[order], owner[order], short)
 
 
-def _windows(marks: np.ndarray, items: Items) -> list[tuple[int, int]]:
+def _windows(marks: np.ndarray, known: Sequences) -> list[tuple[int, int]]:
     """``(start, length)`` of windows of one text that hold enough of the items' word sequences: of each run of such windows the first and every few from there on."""
     out, found = [], marks[marks != 0]
-    total = ((found[:, None] >> (items.lengths % 64).astype(np.uint64)) & np.uint64(1)).sum(axis=0)
-    for n in items.lengths[total >= items.needed].tolist():
+    total = ((found[:, None] >> (known.lengths % 64).astype(np.uint64)) & np.uint64(1)).sum(axis=0)
+    for n in known.lengths[total >= known.needed].tolist():
         sums = np.concatenate([[0], np.cumsum((marks >> np.uint64(n % 64)) & np.uint64(1), dtype=np.int64)])
-        width = n - GRAM + 1
+        width = n - known.gram + 1
         held = sums[width:] - sums[:-width] if width <= len(marks) else sums[-1:]  # a text somewhat shorter is a window itself
         enough = held >= needed(n)
         first = np.maximum.accumulate(np.where(enough & ~np.concatenate([[False], enough[:-1]]), np.arange(len(held)), 0))
@@ -154,20 +193,44 @@ def _windows(marks: np.ndarray, items: Items) -> list[tuple[int, int]]:
     return out
 
 
-def find_items(texts: pa.Array, items: Items) -> list[tuple[int, int, int, int, int]]:
-    """``(text, item, distance, start, end)`` of the best match of each item in each text, within the allowed edits."""
-    values, starts = plain_words(texts)
-    if len(values) < GRAM:
+def _promising(values: np.ndarray, starts: np.ndarray, known: Sequences) -> list[tuple[int, int, int]]:
+    """``(text, start, length)`` of the windows of all texts that are to be embedded."""
+    gram = known.gram
+    if len(values) < gram:
         return []
-    marks = items.marks[_slots(values, len(items.marks))]
-    for back in range(1, GRAM):  # sequences over the edge of two texts
+    marks = known.marks[_slots(values, len(known.marks), gram)]
+    for back in range(1, gram):  # sequences over the edge of two texts
         edge = starts[1:-1] - back
         marks[edge[(edge >= 0) & (edge < len(marks))]] = 0
     sums = np.concatenate([[0], np.cumsum(marks != 0)])
     ahead = np.minimum(np.arange(len(marks)) + BLOCK, len(marks))
-    dense = np.flatnonzero(sums[ahead] - sums[:-1] >= items.block_need)
+    dense = np.flatnonzero(sums[ahead] - sums[:-1] >= known.block_need)
     near = np.unique(np.searchsorted(starts, dense, side="right") - 1)
-    found = [(t, s, n) for t in near.tolist() for s, n in _windows(marks[starts[t]:max(starts[t], starts[t + 1] - GRAM + 1)], items)]
+    return [(t, s, n) for t in near.tolist() for s, n in _windows(marks[starts[t]:max(starts[t], starts[t + 1] - gram + 1)], known)]
+
+
+def _short_items(values: np.ndarray, starts: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int, int]]:
+    """The first place of each short item in each text that holds it as it stands."""
+    for n, (hashes, places) in items.short.items():
+        windows = window_hashes(values, n)
+        at = np.flatnonzero(np.isin(windows, hashes))
+        text = np.searchsorted(starts, at, side="right") - 1
+        inside = at + n <= starts[text + 1]
+        at, text = at[inside], text[inside]
+        # the first place of each item in each text
+        _, first = np.unique(np.stack([text.astype(np.uint64), windows[at]]), axis=1, return_index=True)
+        for t, s in zip(text[first].tolist(), at[first].tolist()):
+            low, high = np.searchsorted(hashes, windows[s], "left"), np.searchsorted(hashes, windows[s], "right")
+            for i in places[low:high].tolist():
+                yield t, i, 0, s - int(starts[t]), s - int(starts[t]) + n
+
+
+def find_items(texts: pa.Array, items: Items) -> list[tuple[int, int, int, int, int]]:
+    """``(text, item, distance, start, end)`` of the best match of each item in each text, within the allowed edits."""
+    values, starts = plain_words(texts)
+    if not len(values):
+        return []
+    found = [w for known in items.sequences for w in _promising(values, starts, known)]
     candidates: dict[tuple[int, int], list[int]] = {}
     for at in range(0, len(found), 4000):
         some = found[at:at + 4000]
@@ -182,7 +245,7 @@ def find_items(texts: pa.Array, items: Items) -> list[tuple[int, int, int, int,
             t, s, n = some[k]
             for i in set(items.owner[low[k, c]:high[k, c]].tolist()):
                 candidates.setdefault((t, i), []).append(s)
-    out = []
+    out = list(_short_items(values, starts, items))
     for (t, i), at in candidates.items():
         item, text = items.words[i], values[starts[t]:starts[t + 1]]
         most, best = allowed(len(item)), None
@@ -214,8 +277,8 @@ def item_parts(benchmark: DataFrame, chars: int = PART_CHARS) -> Iterator[Items]
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, distance, start, end, item_words)``: each item that a document holds, at its best place, in plain words.
 
-    Distances count words without case and punctuation; at most ``EDIT_PERCENT`` edits per 100 words of the item. Items of fewer than
-    ``LEAST_WORDS`` words, null ids of items and null texts are left out. Repeated rows of documents give repeated rows, repeated
+    Distances count words without case and punctuation; at most ``EDIT_PERCENT`` edits per 100 words of the item, none in items of fewer
+    than ``LEAST_WORDS`` words. Items without words, null ids of items and null texts are left out. Repeated rows of documents give repeated rows, repeated
     items one row each; other columns are ignored; without items or documents there are no rows.
     """
     spark, out = docs.sparkSession, None

@@ -124,6 +124,16 @@ def test_decontamination_beside_a_better_match(spark):
     assert got == expected
 
 
+def test_decontamination_by_short_items(spark):
+    """Items of few words, of scripts without blanks, and of eight words whose edits leave no sequence of three."""
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "\u6cd5\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc\uff1f"), (3, "a1 a2 a3 a4 a5 a6 a7 a8"), (4, "\u4e2d\u56fd\u6700\u957f\u7684\u6cb3\u6d41\u662f\u54ea\u4e00\u6761\uff1f"), (5, "Xylophone!"), (6, "...")], "item_id long, text string")
+    rows = [(1, "so: what is the Capital of France"), (2, "what is the capital of Spain? of France?"), (3, "\u95ee\u9898\uff1a\u6cd5\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc\u3002 \u7b54"), (4, "b a1 a2 x a4 a5 y a7 a8 c"),
+            (5, "\u6211\u95ee\u4f60\u4e2d\u56fd\u6700\u5927\u7684\u6cb3\u6d41\u662f\u54ea\u4e00\u6761\u5440"), (6, "a xylophone, a Xylophone"), (7, "what is the"), (8, "capital of France"), (9, "")]
+    got = sorted((r.doc_id, r.item_id, r.distance, r.start, r.end) for r in decontaminate.contaminated(frame(spark, rows).coalesce(1), bench).collect())
+    assert got == [(1, 1, 0, 1, 7), (3, 2, 0, 2, 10), (4, 3, 2, 1, 9), (5, 4, 1, 3, 14), (6, 5, 0, 1, 2)]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(frame(spark, rows), bench).collect()) == [2, 7, 8, 9]
+
+
 def test_urls(spark):
     urls = [(1, None), (2, ""), (3, "http://A.b.NET/x?y=/z"), (4, "no scheme.net/"), (5, "ftp://net"), (6, "http://x.example.net/en/1#a"), (7, "http://xexample.net/en/"), (8, "http://h/p://q.org/fr/"), (9, "http://" + "a." * 5000 + "org/fr/" + "z" * 5000), (None, "http://net/"), (6, "http://x.example.net/en/1#a")]
     df = spark.createDataFrame(urls, "page_id long, url string").withColumn("key", F.lit("k")).withColumn("verdict", F.lit("v"))
