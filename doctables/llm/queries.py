@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from doctables.llm import (
-    chat_format, decontaminate, ngram_join, packing, quality_rules, repeats, secret_scan, token_counts, toxicity, url_filter)
+    chat_format, decontaminate, mixing, ngram_join, packing, quality_rules, repeats, secret_scan, token_counts, toxicity, url_filter)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_mix_sources": mixing.op11_mix_sources,
 }
 
 SQL = {
     "op4_url_filter": url_filter.SQL,
     "op7_secret_scan": secret_scan.SQL,
     "op10_chat_format": chat_format.SQL,
+    "op11_mix_sources": mixing.SQL,
 }
