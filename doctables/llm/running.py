@@ -40,21 +40,22 @@ def _scan(group: str | None, kinds: dict[str, np.ufunc], names: list[str]):
             last = g[-1]
             at = pa.array(np.arange(seen, seen + n))
             seen += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, *totals, pa.array(np.full(n, block, np.int64)), at], names)
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names[: -len(kinds) - 2]), *totals, pa.array(np.full(n, block, np.int64)), at], names)
     return run
 
 
 def running(df: DataFrame, order: Sequence[str | Column], sums: Sequence[str] = (), xors: Sequence[str] = (), group: str | None = None,
-            label: str = "running") -> DataFrame:
-    """``df`` with ``<column>_upto`` for each long column of ``sums`` and ``xors``: its total up to and with the row.
+            drop: Sequence[str] = (), label: str = "running") -> DataFrame:
+    """``df`` without the columns of ``drop`` and with ``<column>_upto`` for each long column of ``sums`` and ``xors``: its total up to and with the row.
 
     ``order`` must begin with ``group`` (a long column, never null) where there is one; totals start anew for each of its values. Rows
     that are equal by ``order`` come in any order, so let it end with what tells rows apart. The scanned blocks are stored, so
     totals stay the same when a task is repeated; only one row per block is broadcast. An empty table stays empty.
     """
     kinds = {**{c: np.add for c in sums}, **{c: np.bitwise_xor for c in xors}}
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{c}_upto` long" for c in kinds), "_block long", "_at long"])
-    names = [*df.columns, *(f"{c}_upto" for c in kinds), "_block", "_at"]
+    kept = [c for c in df.columns if c not in drop]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema), *(f"`{c}_upto` long" for c in kinds), "_block long", "_at long"])
+    names = [*kept, *(f"{c}_upto" for c in kinds), "_block", "_at"]
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = written(ranged.mapInArrow(_scan(group, kinds, names), schema), label)
     key = F.col(group) if group else F.lit(0)
@@ -70,4 +71,4 @@ def running(df: DataFrame, order: Sequence[str | Column], sums: Sequence[str] =
     mine = key == F.col("_first")
     whole = [(F.col(f"{c}_upto") + F.when(mine, F.col(f"_{c}")).otherwise(0)) if k is np.add
              else F.col(f"{c}_upto").bitwiseXOR(F.when(mine, F.col(f"_{c}")).otherwise(F.lit(0).cast("long"))) for c, k in kinds.items()]
-    return rows.join(F.broadcast(carry), "_block").select(*df.columns, *(w.alias(f"{c}_upto") for c, w in zip(kinds, whole)))
+    return rows.join(F.broadcast(carry), "_block").select(*kept, *(w.alias(f"{c}_upto") for c, w in zip(kinds, whole)))
