@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from doctables.llm import (
-    chat_format, decontaminate, mixing, ngram_join, packing, quality_rules, repeats, secret_scan, token_counts, toxicity, trie, url_filter)
+    chat_format, collocations, decontaminate, mixing, ngram_join, packing, quality_rules, repeats, secret_scan, token_counts, toxicity, trie, url_filter)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_chat_format": chat_format.op10_chat_format,
     "op11_mix_sources": mixing.op11_mix_sources,
+    "op12_collocations": collocations.op12_collocations,
     "op13_conversation_trie": trie.op13_conversation_trie,
 }
 
@@ -25,5 +26,6 @@ SQL = {
     "op7_secret_scan": secret_scan.SQL,
     "op10_chat_format": chat_format.SQL,
     "op11_mix_sources": mixing.SQL,
+    "op12_collocations": collocations.SQL,
     "op13_conversation_trie": trie.SQL,
 }
