@@ -15,12 +15,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from doctables.llm.common import INVERSE, MULTIPLIER, Bitmap, column, mixed, slices, written
+from doctables.llm.common import INVERSE, MULTIPLIER, Bitmap, column, give_back, mixed, slices, written
 from doctables.llm.running import running
 
 LONGEST, LEAST, TOP = 4, 30, 2000
-#: Suffixes that a group may have, and suffixes or words that a task gathers before it adds up equal ones.
-BUDGET, GATHERED = 1 << 20, 1 << 20
+#: Suffixes that a group may have; suffixes and different words that a task gathers before it adds up equal ones and sends them.
+BUDGET, GATHERED, GATHERED_WORDS = 1 << 20, 1 << 19, 1 << 17
+#: There are this many groups at least, for as many tasks: a group takes less than the budget of a small corpus.
+LEAST_GROUPS = 256
+#: Text bytes of one step; a step takes some fifty times as much memory.
+STEP_BYTES = 1 << 19
 #: Bits of the filter of frequent words: 16 for each word, within these bounds (64 MB at most; more words only make it pass more).
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
 # what a byte is: 0 part of a word, 1 blank, 2 end of a piece
@@ -60,11 +64,11 @@ class Words:
             power[0] = back[0] = 1
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * np.multiply.accumulate(power), dtype=np.uint64)])
         coded = langs.fill_null("und").dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names, coded = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         of = np.array([xxhash.xxh3_64_intdigest(x, seed) for x in names], np.uint64)
-        lang = of[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, np.uint64)
+        lang = of[coded] if len(names) else np.zeros(0, np.uint64)
         plain = (sums[self.end] - sums[self.start]) * np.multiply.accumulate(back)[self.start] + (self.end - self.start).astype(np.uint64)
-        self.langs, self.lang = names, coded.indices.to_numpy(zero_copy_only=False)
+        self.langs, self.lang = names, coded
         self.key = (mixed(mixed(plain) ^ lang[self.text]) | np.uint64(1)).view(np.int64)  # 0 stands for no word
 
 
@@ -80,14 +84,17 @@ def among(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, keys), len(of) - 1)] == keys
 
 
-def added_up(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Equal rows as one, sorted, with their counts summed."""
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+def added_up(columns: list[np.ndarray], counts: np.ndarray, carried: int = 0) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal rows as one, sorted, with their counts summed; the last ``carried`` columns follow from the others."""
+    keys = columns[: len(columns) - carried]
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in keys:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
     at = np.flatnonzero(new)
-    return [c[at] for c in columns], np.add.reduceat(counts[order], at) if len(at) else counts
+    return [c[order[at]] for c in columns], np.add.reduceat(counts[order], at) if len(at) else counts
 
 
 def _counted_words(seed: int):
@@ -101,7 +108,7 @@ def _counted_words(seed: int):
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(known), pa.int64()), pa.array(langs, pa.string()), pa.array(strings, pa.binary()).cast(pa.string()), pa.array(total)],
                                               ["key", "lang", "word", "n"])
-        for batch in slices(batches):
+        for batch in slices(batches, limit=STEP_BYTES):
             words = Words(column(batch, "text"), column(batch, "lang"), seed)
             keys, first, counts = np.unique(words.key, return_index=True, return_counts=True)
             place = np.zeros(len(keys), np.int64)
@@ -112,7 +119,7 @@ def _counted_words(seed: int):
                     langs.append(words.langs[words.lang[words.text[at]]])
             total = np.concatenate([total, np.zeros(len(known) - len(total), np.int64)])
             total[place] += counts
-            if len(known) > GATHERED:
+            if len(known) > GATHERED_WORDS:
                 yield out()
                 known.clear(), strings.clear(), langs.clear()
                 total = total[:0]
@@ -131,17 +138,18 @@ def _suffixes(words: Words, frequent: Bitmap) -> list[np.ndarray]:
     return [c[some] for c in columns]
 
 
-def _gathered(batches: Iterable[pa.RecordBatch], seed: int, frequent, choose) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+def _gathered(batches: Iterable[pa.RecordBatch], seed: int, frequent, choose, carried: int = 0) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """Columns that ``choose`` makes of the suffixes, added up whenever there are ``GATHERED`` rows."""
     held, rows = [], 0
-    for batch in slices(batches):
+    for batch in slices(batches, limit=STEP_BYTES):
         held.append(choose(_suffixes(Words(column(batch, "text"), column(batch, "lang"), seed), frequent.value)))
         rows += len(held[-1][0])
         if rows > GATHERED:
-            yield added_up([np.concatenate(c) for c in zip(*held)], np.ones(rows, np.int64))
+            yield added_up([np.concatenate(c) for c in zip(*held)], np.ones(rows, np.int64), carried)
             held, rows = [], 0
+            give_back()
     if rows:
-        yield added_up([np.concatenate(c) for c in zip(*held)], np.ones(rows, np.int64))
+        yield added_up([np.concatenate(c) for c in zip(*held)], np.ones(rows, np.int64), carried)
 
 
 def _counted_prefixes(seed: int, frequent, hot: list[np.ndarray]):
@@ -152,12 +160,12 @@ def _counted_prefixes(seed: int, frequent, hot: list[np.ndarray]):
             some = among(prefix, h) & (columns[d] != 0)
             columns = [c[some] for c in columns]
             prefix = lengthened(prefix[some], columns[d])
-        return [prefix, *columns[: len(hot) + 1]]
+        return [*columns[: len(hot) + 1], prefix]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, counts in _gathered(batches, seed, frequent, choose):
-            words = columns[1:] + [np.zeros_like(counts)] * (LONGEST - len(columns) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (columns[0], *words, counts)], ["key", "w1", "w2", "w3", "w4", "n"])
+        for columns, counts in _gathered(batches, seed, frequent, choose, 1):
+            words = columns[:-1] + [np.zeros_like(counts)] * (LONGEST - len(columns) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (columns[-1], *words, counts)], ["key", "w1", "w2", "w3", "w4", "n"])
     return run
 
 
@@ -173,10 +181,12 @@ def _grouped_suffixes(seed: int, frequent, hot: list[np.ndarray], bounds: np.nda
             prefix = np.where(below, lengthened(prefix, columns[d]), prefix)
             depth[below] = d + 1
         group = np.maximum(np.searchsorted(bounds, prefix, side="right") - 1, 0)
-        return [c[keep] for c in (group, *columns, depth)]
+        return [c[keep] for c in (*columns, depth, group)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (group, *columns), counts in _gathered(batches, seed, frequent, choose):
+        for columns, counts in _gathered(batches, seed, frequent, choose, 2):
+            order = np.argsort(columns[-1], kind="stable")
+            *columns, group, counts = (c[order] for c in (*columns, counts))
             at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             ends = [*at[1:].tolist(), len(group)]
             blobs = [pa.array([c[a:b].tobytes() for a, b in zip(at.tolist(), ends)], pa.binary()) for c in (*columns, counts)]
@@ -188,7 +198,7 @@ def _subtree(least: int):
     """Phrase counts of one group: its sorted suffixes are the leaves, runs of equal first words the inner nodes."""
     def run(group: pa.Table) -> pa.Table:
         *words, depth, n = ([np.frombuffer(x, np.int64) for x in group.column(c).to_pylist()] for c in ("w1", "w2", "w3", "w4", "depth", "n"))
-        (*words, depth), n = added_up([np.concatenate(c) for c in (*words, depth)], np.concatenate(n))
+        (*words, depth), n = added_up([np.concatenate(c) for c in (*words, depth)], np.concatenate(n), 1)
         out = [[] for _ in range(LONGEST + 1)]
         new = np.zeros(len(n), bool)
         new[0] = True
@@ -199,6 +209,7 @@ def _subtree(least: int):
             kept = (d > 1) & (w[at] != 0) & (total >= least) & (depth[at] <= d)
             for values, c in zip(out, (*words[:d], *[np.zeros_like(n)] * (LONGEST - d), None)):
                 values.append(total[kept] if c is None else c[at[kept]])
+        give_back()
         return pa.table([np.concatenate(v) for v in out], names=["w1", "w2", "w3", "w4", "f"])
     return run
 
@@ -228,7 +239,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, budget: int = BUDGET) ->
     while bits < min(16 * frequent.count(), MOST_BITS):
         bits *= 2
     sent = [spark.sparkContext.broadcast(Bitmap(frequent, "key", bits, hashed=True))]
-    half = budget // 2
+    occurrences = frequent.agg(F.sum("n")).first()[0] or 0
+    half = max(min(budget, occurrences // LEAST_GROUPS * 2) // 2, 1)
     level = frequent.select("key", F.col("key").alias("w1"), *(F.lit(0).cast("long").alias(w) for w in ("w2", "w3", "w4")), "n")
     levels, hot, schema = [], [], "key long, w1 long, w2 long, w3 long, w4 long, n long"
     while True:
@@ -244,7 +256,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, budget: int = BUDGET) ->
     prefixes = ends[0]
     for more in ends[1:]:
         prefixes = prefixes.unionByName(more)
-    groups = running(prefixes, ["key", "n"], sums=["n"], label="groups").groupBy(F.expr(f"(n_upto - n) div {max(half, 1)}").alias("g")).agg(F.min("key").alias("key"))
+    groups = running(prefixes, ["key", "n"], sums=["n"], label="groups").groupBy(F.expr(f"(n_upto - n) div {half}").alias("g")).agg(F.min("key").alias("key"))
     bounds = np.sort(groups.select("key").toArrow().column(0).to_numpy())
     rows = docs.mapInArrow(_grouped_suffixes(seed, sent[0], hot, bounds), "grp long, w1 binary, w2 binary, w3 binary, w4 binary, depth binary, n binary")
     found = rows.groupBy("grp").applyInArrow(_subtree(least), "w1 long, w2 long, w3 long, w4 long, f long")
