@@ -116,6 +116,54 @@ def merge_subset_rows(t):
     return C.merge_subset_rows(repeated(t))
 
 
+# all orders of a group as one long document, an order's pages apart from the next one's, so that documents span many blocks of pages
+LONG_ROWS = """SELECT doc_id % 40 AS doc_id, array_name, CAST(floor(doc_id / 40) * 60 + page AS INT) AS page, pos, {columns} FROM items"""
+LOOK_BACK = """
+WITH RECURSIVE ordered AS MATERIALIZED (
+  SELECT *, charges_type || '|' || quantity || '|' || coalesce(airport, '') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY page, pos, charges_type, quantity, airport) AS i FROM ({rows})),
+fold AS (
+  SELECT doc_id, i, [x] AS recent, true AS kept FROM ordered WHERE i = 1
+  UNION ALL
+  SELECT o.doc_id, o.i, CASE WHEN list_contains(f.recent, o.x) THEN f.recent ELSE list_append(f.recent, o.x)[-50:] END, NOT list_contains(f.recent, o.x)
+  FROM fold f JOIN ordered o ON o.doc_id = f.doc_id AND o.i = f.i + 1)
+SELECT o.doc_id, o.page, o.pos, o.charges_type, o.quantity, o.airport FROM ordered o JOIN fold f ON f.doc_id = o.doc_id AND f.i = o.i WHERE f.kept"""
+
+
+@query("w4_dedupe_long_documents", fx(LOOK_BACK.replace("{rows}", LONG_ROWS.format(columns="charges_type, quantity, airport"))))
+def dedupe_long_documents(t):
+    # rows repeat both within the last 50 kept ones and beyond them
+    rows = t.spark.sql(LONG_ROWS.format(columns="charges_type, quantity, airport").replace("FROM items", "FROM {items}"), items=t.items)
+    return C.dedupe_rows(rows, merge=False).drop("array_name")
+
+
+MERGE_BACK = """
+WITH RECURSIVE ordered AS MATERIALIZED (
+  SELECT *, page * 10000000000000000::HUGEINT + pos AS place, coalesce(flight_number, '') AS ident, coalesce(trim(charges_type), '') AS c, coalesce(trim(airport), '') AS a,
+    coalesce(flight_number, chr(1)) || '|' || coalesce(charges_type, chr(1)) || '|' || coalesce(airport, chr(1)) AS x,
+    row_number() OVER (PARTITION BY doc_id ORDER BY page, pos, charges_type, airport) AS i FROM ({rows})),
+fold AS (
+  SELECT doc_id, i, [{'place': place, 'ident': ident, 'x': x, 'c': c, 'a': a, 'from': i}] AS recent FROM ordered WHERE i = 1
+  UNION ALL
+  SELECT doc_id, i, CASE
+      WHEN same OR (t > 0 AND NOT fuller AND poorer) THEN recent
+      WHEN t > 0 AND fuller THEN list_transform(recent, lambda e, k: CASE WHEN k = t THEN {'place': e.place, 'ident': e.ident, 'x': e.x, 'c': c, 'a': a, 'from': i} ELSE e END)
+      ELSE list_append(recent, {'place': place, 'ident': ident, 'x': x, 'c': c, 'a': a, 'from': i})[-50:] END
+  FROM (
+    SELECT *, recent[t].c IN ('', c) AND recent[t].a IN ('', a) AS fuller, c IN ('', recent[t].c) AND a IN ('', recent[t].a) AS poorer FROM (
+      SELECT o.*, f.recent, list_contains(list_transform(f.recent, lambda e: e.x), o.x) AS same,
+        CASE WHEN o.ident = '' THEN 0 ELSE coalesce(list_position(list_transform(f.recent, lambda e: e.ident), o.ident), 0) END AS t
+      FROM fold f JOIN ordered o ON o.doc_id = f.doc_id AND o.i = f.i + 1))),
+last AS (SELECT doc_id, e.place AS place, max(e.from) AS i FROM (SELECT doc_id, unnest(recent) AS e FROM fold) GROUP BY ALL)
+SELECT l.doc_id, p.page, p.pos, o.flight_number, o.charges_type, o.airport
+FROM last l JOIN ordered o ON o.doc_id = l.doc_id AND o.i = l.i JOIN (SELECT DISTINCT doc_id, place, page, pos FROM ordered) p ON p.doc_id = l.doc_id AND p.place = l.place"""
+
+
+@query("w5_merge_long_documents", fx(MERGE_BACK.replace("{rows}", LONG_ROWS.format(columns="flight_number, charges_type, airport"))))
+def merge_long_documents(t):
+    rows = t.spark.sql(LONG_ROWS.format(columns="flight_number, charges_type, airport").replace("FROM items", "FROM {items}"), items=t.items)
+    return C.merge_subset_rows(rows).drop("array_name")
+
+
 @query("j6_normalize_by_alias", fx("""SELECT doc_id, pos, CASE WHEN charges_type LIKE 'landing%' THEN 'LANDING FEES' WHEN trim(charges_type) LIKE 'Takeoff%' THEN 'TAKE OFF FEES' ELSE charges_type END AS charges_type FROM items"""))
 def normalize_by_alias(t):
     nested = t.items.select("doc_id", "pos", F.array(F.struct("charges_type")).alias("rows"))
