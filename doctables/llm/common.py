@@ -47,8 +47,16 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each has about ``limit`` bytes of text."""
+#: What operators keep in a Python worker for their next task; others clear it, since workers are used again.
+CACHES: list[dict] = []
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, caches: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each has about ``limit`` bytes of text; without ``caches``, clear what earlier operators left in the worker."""
+    if not caches and any(CACHES):
+        for cache in CACHES:
+            cache.clear()
+        give_back()
     for batch in batches:
         if not batch.num_rows:
             continue

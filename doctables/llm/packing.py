@@ -38,7 +38,7 @@ def _cutter(vocabulary: str, capacity: int, end: int):
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), defaultdict(int)
         last = np.array([end], "<u4").tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, caches=True):
             out: list[list] = [[] for _ in range(6)]
             for doc, ids in zip(column(batch, "doc_id").to_pylist(), enc.encode(column(batch, "text").to_pylist())):
                 ids += last

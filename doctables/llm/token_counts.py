@@ -36,7 +36,7 @@ def _streamer(vocabulary: str, end: int, block: int, width: str):
             return pa.RecordBatch.from_arrays([pa.array(["tokens"] * n), pa.array([part] * n, pa.int32()), pa.array(at, pa.int64()), pa.array(parts, pa.binary()),
                                                pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
 
-        for batch in slices(batches):
+        for batch in slices(batches, caches=True):
             ids = column(batch, "doc_id").cast(pa.int64())
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(["documents"] * n), pa.array([part] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),

@@ -13,6 +13,8 @@ from array import array
 
 import numpy as np
 
+from doctables.llm.common import CACHES
+
 #: A vocabulary by the path of its files without ``.json`` and ``.tiktoken``, or by their name in the public tokenizers package.
 VOCABULARY = "byte_bpe_50k"
 END_OF_DOCUMENT = 50256
@@ -24,6 +26,7 @@ _DOUBLE = re.compile(r"\s\s|\0")
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 _ONE_WORD = re.compile(r" ?\S+")
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
+CACHES.append(_encoders)
 
 
 class Encoder:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from doctables.llm.common import Bitmap, column, mixed, slices, words_of, written
+from doctables.llm.common import Bitmap, column, give_back, mixed, slices, words_of, written
 
 ORDER = 6
 BUCKETS = 1 << 20
@@ -102,7 +102,7 @@ def text_features(texts: pa.Array, model: Model, kept: dict[str, float]) -> np.n
     words, starts = words_of(texts)
     coded = words.dictionary_encode()
     forms = [spelled(w) for w in coded.dictionary.to_pylist()]
-    if len(kept) > KEPT_WORDS:
+    if len(kept) + len(forms) > KEPT_WORDS:
         kept.clear()
     new = list(dict.fromkeys(f for f in forms if f not in kept))
     for at in range(0, len(new), 20_000):
@@ -219,6 +219,11 @@ class Scorer:
     def features(self, texts: pa.Array) -> np.ndarray:
         return text_features(texts, self.model.value, self.kept)
 
+    def free(self) -> None:
+        """Let the worker wait for its next task without the words of this one."""
+        self.kept.clear()
+        give_back()
+
     def probabilities(self, texts: pa.Array) -> np.ndarray:
         x = self.features(texts)
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -50, 50)))
@@ -270,6 +275,7 @@ def score_texts(docs: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
         for batch in slices(batches, "_scored"):
             p = scorer.probabilities(column(batch, "_scored"))
             yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in keep), pa.array(p)], [*keep, "score"])
+        scorer.free()
     return docs.select(*keep, F.col("text").alias("_scored")).mapInArrow(score, docs.select(*keep).withColumn("score", F.lit(0.0)).schema)
 
 
@@ -280,6 +286,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield batch.filter(pa.array(scorer.probabilities(column(batch, "text")) < threshold))
+        scorer.free()
     return docs.mapInArrow(clean, docs.schema)
 
 
