@@ -150,20 +150,73 @@ def event_stream(t, label):
     return ST.job_events(t.spark.readStream.schema("ts timestamp_ntz, user_id bigint, event_type string, value double").parquet(source))
 
 
-@query("st2_stream_job_counters", "SELECT count(DISTINCT user_id) AS total FROM events WHERE event_type IN ('purchase', 'error')")
-def stream_job_counters(t):
-    name = "counters_" + scratch_path(t.spark, "x").rsplit("-", 1)[1]
-    query = (ST.stream_job_counters(event_stream(t, "events"), "3650 days").writeStream.outputMode("complete").format("memory").queryName(name)
-             .option("checkpointLocation", scratch_path(t.spark, "state")).trigger(availableNow=True).start())
+def drained(t, df):
+    """The rows of a finished stream."""
+    out = scratch_path(t.spark, "rows")
+    with ST.rocksdb(t.spark):
+        query = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(t.spark, "state"))
+                 .trigger(availableNow=True).start())
     query.awaitTermination()
-    return t.spark.table(name).select("total")
+    return t.spark.read.schema(df.schema).parquet(out)
+
+
+# what the watermark has passed at the end: the latest event less the delay
+PASSED = """
+e AS (SELECT user_id, epoch_us(ts) AS us, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE {other} END AS kind, value FROM events),
+h AS (SELECT max(us) // 1000 - {delay} AS passed FROM e)"""
 
 
-@query("st3_stream_job_state")
+@query("st2_stream_job_counters", f"""
+WITH {PASSED.format(other="'in-progress'", delay=3_600_000).strip()},
+f AS (SELECT e.* FROM e, h WHERE kind <> 'in-progress' AND us // 1000 < passed QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY us, kind, value) = 1)
+SELECT count(*) AS total, count(*) FILTER (WHERE kind = 'done') AS successful, count(*) FILTER (WHERE kind = 'error') AS failed,
+  CAST(sum(CAST(value / 1000 AS DECIMAL(28, 6))) AS DOUBLE) AS total_cost, count(*) AS total_calls FROM f""")
+def stream_job_counters(t):
+    return ST.count_finished(drained(t, ST.stream_finished_jobs(event_stream(t, "events"))))
+
+
+TTL, TIMEOUT = 21_600_000, 10_800_000
+
+
+@query("st3_stream_job_state", f"""
+WITH RECURSIVE {PASSED.format(other="CASE event_type WHEN 'view' THEN 'read' ELSE 'in-progress' END", delay=10_000).strip()},
+o AS MATERIALIZED (SELECT e.*, row_number() OVER (PARTITION BY user_id ORDER BY us, kind) AS i FROM e, h WHERE us // 1000 < passed),
+f AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS BIGINT) AS deadline, CAST(NULL AS BIGINT) AS gone, CAST(NULL AS VARCHAR) AS shown, CAST(NULL AS BIGINT) AS us FROM o
+  UNION ALL
+  SELECT user_id, i, CASE kind WHEN 'read' THEN status ELSE kind END, CASE WHEN kind = 'read' AND status IN ('done', 'error') AND deadline IS NULL THEN us + {TTL * 1000} ELSE deadline END,
+    gone, CASE WHEN kind <> 'read' THEN kind END, us
+  FROM (SELECT o.user_id, o.i, o.kind, o.us, CASE WHEN f.deadline <= o.us THEN f.deadline END AS gone, CASE WHEN f.deadline <= o.us THEN NULL ELSE f.status END AS status,
+    CASE WHEN f.deadline <= o.us THEN NULL ELSE f.deadline END AS deadline FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)),
+last AS (SELECT user_id, arg_max(coalesce(deadline, -1), i) AS deadline FROM f GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS job_id, shown AS state, us FROM f WHERE shown IS NOT NULL
+UNION ALL SELECT CAST(user_id AS VARCHAR), 'expired', gone FROM f WHERE gone IS NOT NULL
+UNION ALL SELECT CAST(user_id AS VARCHAR), 'expired', deadline FROM last, h WHERE deadline BETWEEN 0 AND passed * 1000 - 1""")
 def stream_job_state(t):
-    ST.use_rocksdb(t.spark)
-    out = scratch_path(t.spark, "states")
-    query = (ST.stream_job_state(event_stream(t, "events")).writeStream.format("parquet").option("path", out)
-             .option("checkpointLocation", scratch_path(t.spark, "state")).trigger(availableNow=True).start())
-    query.awaitTermination()
-    return t.spark.read.schema(ST.STATE_COLUMNS).parquet(out)
+    def of(kind):
+        source = scratch_path(t.spark, "events")
+        t.events.where(f"event_type {kind} 'view'").select("ts", "user_id", "event_type", "value").write.parquet(source)
+        return ST.job_events(t.spark.readStream.schema("ts timestamp_ntz, user_id bigint, event_type string, value double").parquet(source))
+    out = drained(t, ST.stream_job_state(of("<>"), of("=").select("job_id", "ts"), TTL))
+    return out.select("job_id", "state", F.unix_micros("ts").alias("us"))
+
+
+@query("st4_stream_orphans", f"""
+WITH RECURSIVE {PASSED.format(other="'in-progress'", delay=10_000).strip()},
+s AS (SELECT user_id, us, kind FROM e UNION ALL SELECT user_id, min(us) - 86400000000, 'in-progress' FROM e WHERE user_id % 2 = 0 GROUP BY user_id),
+o AS MATERIALIZED (SELECT s.*, row_number() OVER (PARTITION BY user_id ORDER BY us, kind) AS i FROM s, h WHERE us // 1000 < passed),
+f AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS created, CAST(NULL AS BIGINT) AS gone FROM o
+  UNION ALL
+  SELECT user_id, i, CASE WHEN kind = 'in-progress' THEN coalesce(created, us) END, gone
+  FROM (SELECT o.user_id, o.i, o.kind, o.us, CASE WHEN f.created + {TIMEOUT * 1000} <= o.us THEN f.created END AS gone,
+    CASE WHEN f.created + {TIMEOUT * 1000} <= o.us THEN NULL ELSE f.created END AS created FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)),
+last AS (SELECT user_id, arg_max(coalesce(created, -1), i) AS created FROM f GROUP BY user_id),
+g AS (SELECT user_id, gone FROM f WHERE gone IS NOT NULL UNION ALL SELECT user_id, created FROM last, h WHERE created >= 0 AND created + {TIMEOUT * 1000} <= passed * 1000 - 1)
+SELECT CAST(user_id AS VARCHAR) AS job_id, 'error' AS status, 'Server restarted before this task completed' AS error, gone AS created_us, gone + {TIMEOUT * 1000} AS completed_us FROM g""")
+def stream_orphans(t):
+    events = event_stream(t, "events")
+    # every second job is known from the stored table, created a day before its first event
+    known = ST.job_events(t.events).where("job_id % 2 = 0").groupBy("job_id").agg((F.min("ts") - F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit("in-progress").alias("status"))
+    out = drained(t, ST.stream_orphans(events, known, TIMEOUT))
+    return out.select("job_id", "status", "error", F.unix_micros("created_at").alias("created_us"), F.unix_micros("completed_at").alias("completed_us"))
