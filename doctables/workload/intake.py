@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from doctables.operators import jobs as J
 from doctables.operators import pages as P
-from doctables.plans.post_process import Settings, post_process
+from doctables.plans.post_process import Settings, post_process, run_chain
 from doctables.session import scratch_path
 from doctables.sources import files, sinks
 from doctables.streaming import jobs as ST
 from doctables.workload import query
+from doctables.workload.cleaning import RECORDS
 from doctables.workload.fixtures import with_fixtures as fx
+from doctables.workload.quality import GC, global_counts
 
 
 @query("s1_scan_files", """
@@ -127,12 +129,79 @@ def stem(t):
     return files.file_stem(t.pages.select("page_id", F.concat("url", F.lit(" My File.v2.pdf")).alias("name")), "name").select("page_id", "stem")
 
 
-@query("r3_post_process")
+# the chain from the base rows: {input} has the rows, {read} turns DD-MM-YYYY into the format of the chain
+CHAIN = f"""
+WITH lines AS (SELECT doc_id, page, pos, clock, replace(date_text, '.', '-') AS dmy, regexp_replace(line, '\\s', '', 'g') AS flat FROM rendered WHERE kind = 'movement' AND length(date_text) = 10),
+dated AS (
+  SELECT i.* EXCLUDE (date), coalesce((SELECT {{read_line}} FROM lines l WHERE l.doc_id = i.doc_id AND contains(l.flat, i.flight_number) AND (i.time IS NULL OR l.clock = i.time) ORDER BY l.page, l.pos LIMIT 1),
+    {{read_item}}) AS date FROM ({{input}}) i),
+src AS (
+  SELECT d.doc_id, d.flight_number, d.date, min(l.clock) AS clock FROM (SELECT DISTINCT doc_id, flight_number, date FROM dated WHERE flight_number IS NOT NULL) d
+  JOIN lines l ON l.doc_id = d.doc_id AND l.dmy = d.date AND contains(l.flat, d.flight_number) GROUP BY ALL HAVING count(*) = 1),
+r AS (
+  SELECT d.*, page * 100000000000000000000000 + pos AS atp, s.clock IS NOT NULL AS sourced,
+    (coalesce(registration, 'null') <> 'null')::INT + (time IS NOT NULL)::INT + (airport <> '')::INT AS complete
+  FROM dated d LEFT JOIN src s USING (doc_id, flight_number, date) WHERE flight_number IS NOT NULL),
+g AS (SELECT *, min(time) OVER gw AS lo, max(time) OVER gw AS hi FROM r WINDOW gw AS (PARTITION BY doc_id, flight_number, date)),
+p AS (SELECT *, CASE WHEN sourced THEN 'source' ELSE coalesce(time, CASE WHEN lo = hi THEN lo ELSE '?' || CAST(atp AS VARCHAR) END) END AS part FROM g),
+n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, flight_number, date, part, charges_type) AS nt FROM p),
+x AS (SELECT *, max(nt) OVER (PARTITION BY doc_id, flight_number, date, part) AS top FROM n),
+y AS (SELECT doc_id, flight_number, date, part, count(DISTINCT charges_type) FILTER (WHERE nt = top) AS tied FROM x GROUP BY ALL),
+z AS (SELECT x.*, tied > 1 AND ((flight_number LIKE '%/A' AND charges_type ILIKE '%landing%') OR (flight_number LIKE '%/D' AND charges_type ILIKE '%takeoff%')) AS favored
+  FROM x JOIN y USING (doc_id, flight_number, date, part)),
+moved AS (
+  SELECT doc_id, array_name, page, pos, description, charges_type, flight_number, date, net_amount, airport FROM z
+  QUALIFY row_number() OVER (PARTITION BY doc_id, flight_number, date, part ORDER BY favored DESC, CASE WHEN favored THEN 0 ELSE -complete END, time IS NULL AND NOT sourced, atp) = 1
+  UNION ALL SELECT doc_id, array_name, page, pos, description, charges_type, flight_number, date, net_amount, airport FROM dated WHERE flight_number IS NULL),
+rec AS ({RECORDS}),
+enough AS (SELECT doc_id FROM rec GROUP BY doc_id HAVING count(*) >= {{least}}),
+c AS (SELECT doc_id, airport, count(*) AS n, min(page * 10000000000000000 + pos) AS f FROM moved WHERE airport <> '' GROUP BY ALL),
+m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) = 1),
+done AS (
+  SELECT r.doc_id, 'line_items' AS array_name, r.page, coalesce(r.charges_type, 'Landing Charge') AS description, coalesce(r.charges_type, 'Landing Charge') AS charges_type, r.flight_number,
+    {{read_record}} AS date, r.net_amount, coalesce(m.airport, {{airport}}) AS airport FROM rec r JOIN enough USING (doc_id) LEFT JOIN m ON m.doc_id = r.doc_id
+  UNION ALL SELECT doc_id, array_name, page, description, charges_type, flight_number, date, net_amount, airport FROM moved WHERE doc_id NOT IN (SELECT doc_id FROM enough))
+SELECT doc_id, array_name, page, description, CASE WHEN charges_type ILIKE 'landing%' THEN 'LANDING FEES' WHEN trim(charges_type) ILIKE 'take%' THEN 'TAKE OFF FEES' ELSE charges_type END AS charges_type,
+  flight_number, date, net_amount, airport FROM done WHERE NOT charges_type ILIKE '%noise%'"""
+ISO = "substr({0}, 7) || '-' || substr({0}, 4, 2) || '-' || substr({0}, 1, 2)"
+CHAIN_COLUMNS = {"description": "string", "charges_type": "string", "flight_number": "string", "date": "string", "net_amount": "double", "airport": "string"}
+
+
+@query("r3_post_process", fx(CHAIN.format(
+    input="SELECT *, aircraft_registration AS registration FROM items", read_line=ISO.format("l.dmy"), read_item=ISO.format("i.date"), read_record=ISO.format("r.date"), least=10, airport="NULL")))
 def chain(t):
-    return post_process(t.items.drop("tax", "quantity"), t.invoice_pages, Settings(
-        domain="aviation", date_columns=["date"], date_format="YYYY-MM-DD", date_input_format="DD.MM.YYYY",
-        columns={"description": "string", "charges_type": "string", "flight_number": "string", "date": "string", "net_amount": "double", "airport": "string"},
-        filter={"dropIf": ["noise"]}))
+    out = post_process(t.items.drop("tax", "quantity"), t.invoice_pages, Settings(
+        domain="aviation", date_columns=["date"], date_format="YYYY-MM-DD", date_input_format="DD.MM.YYYY", columns=CHAIN_COLUMNS, filter={"dropIf": ["noise"]}))
+    return out.drop("pos")
+
+
+# what a reading page by page gives: every line once more on a later page, with some values left out
+PAGE_ROWS = """SELECT doc_id, array_name, page, pos, flight_number, date, description, charges_type, net_amount, airport FROM items
+UNION ALL SELECT doc_id, array_name, CAST(9 AS INT), pos, flight_number, date, CASE WHEN pos % 3 = 0 THEN '' ELSE description END, charges_type,
+  CASE WHEN pos % 2 = 0 THEN net_amount END, CASE WHEN pos % 5 = 0 THEN '' ELSE airport END FROM items"""
+
+
+def page_chain(t, counts=None):
+    rows = t.spark.sql(PAGE_ROWS.replace("FROM items", "FROM {items}"), items=t.items)
+    stored = t.nation.where("n_nationkey = 0").select(F.lit("domains").alias("key"), F.to_json(F.struct(F.struct(
+        F.lit("Own").alias("label"), F.expr("named_struct('LANDING FEES', array('^landing'), 'TAKE OFF FEES', '^take')").alias("chargeTypeAliases"),
+        F.struct(F.lit("XXX").alias("defaultAirport")).alias("movementPattern")).alias("mine"))).alias("value"))
+    return run_chain(rows, t.invoice_pages, Settings(
+        domain="mine", date_columns=["date"], date_format="DD-MM-YYYY", date_input_format="DD.MM.YYYY", columns=CHAIN_COLUMNS, filter={"dropIf": ["noise"]},
+        min_records=4, per_page=True), stored, counts=counts)
+
+
+@query("r3_page_chain", fx(CHAIN.format(
+    input="SELECT *, CAST(NULL AS VARCHAR) AS registration FROM (SELECT * REPLACE (CAST(NULL AS VARCHAR) AS time) FROM items)", read_line="l.dmy", read_item="i.date", read_record="r.date", least=4, airport="'XXX'")))
+def chain_of_pages(t):
+    return page_chain(t)["rows"].drop("pos")
+
+
+@query("r3_page_reports", fx(f"""
+SELECT g.doc_id, g.array_name, CAST(g.counted AS BIGINT) AS expected, a.actual FROM ({GC}) g
+JOIN (SELECT doc_id, array_name, count(*) AS actual FROM items GROUP BY ALL) a ON a.doc_id = g.doc_id AND a.array_name = g.array_name WHERE a.actual <> g.counted"""))
+def chain_reports(t):
+    return page_chain(t, global_counts(t))["coverage"].select("doc_id", "array_name", "expected", "actual")
 
 
 @query("st1_stream_documents", "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents")
