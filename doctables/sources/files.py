@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctables.functions import text
+from doctables.session import stored
 
 # Accepted extensions with their MIME types, and the narrower list of schema inference.
 MIME = {
@@ -58,9 +59,38 @@ def scan_text_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of CSV documents as text columns, with the file they came from."""
-    return spark.read.option("header", "true").option("escape", '"').option("multiLine", "true").csv(path).withColumn(
-        "path", F.col("_metadata.file_path"))
+    """``(path, row_no, cells)``: the rows of CSV documents, each under the header of its own file.
+
+    A file's first record names its columns; ``cells`` maps a name to the cell's text (null: empty). A cell without a name, under a name
+    that stood before, or beyond the header is called ``_c`` and its position (from 0), so no cell is lost. Cells may hold line breaks and
+    quotes in quotes; empty lines are skipped; files differ in any way. Rows are numbered from 1 in a file. A file with a header alone or
+    nothing gives no row. Reads the files twice, first to learn the most cells of a record, and stores the records when called.
+    """
+    reader = spark.read.option("escape", '"').option("multiLine", "true").option("recursiveFileLookup", "true")
+    # with one column asked for, a record of more is kept as it stands; its commas bound its cells
+    text_of = reader.schema("cell string, record string").option("columnNameOfCorruptRecord", "record").csv(path)
+    commas = F.length(F.regexp_replace(F.coalesce("record", "cell"), "[^,]", ""))
+    width = (text_of.select("cell", commas.alias("n")).agg(F.max("n")).first()[0] or 0) + 1
+    names = [f"c{i}" for i in range(width)]
+    raw = reader.schema(", ".join(f"{n} string" for n in names)).option("columnNameOfCorruptRecord", "").csv(path)
+    cells = F.array(*(F.col(n) for n in names))
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), cells.alias("cells"))
+    # a file is read by one task in its order, so numbers grow by one within it
+    records = stored(raw.withColumn("at", F.monotonically_increasing_id()), "csv-records")
+    head = records.groupBy("path").agg(F.min("at").alias("first"), F.min_by("cells", "at").alias("header"))
+    rows = records.join(head, "path").where(F.col("at") > F.col("first"))
+    header = F.transform("header", lambda h: F.regexp_replace(F.trim(F.coalesce(h, F.lit(""))), "^\ufeff", ""))
+    rows = rows.withColumn("header", header).withColumn("width", F.greatest(_filled("header", ""), _filled("cells")))
+    own = F.transform("header", lambda h, i: F.when(
+        h.rlike(r"^(_c\d+)?$") | (F.array_position("header", h) <= i), F.concat(F.lit("_c"), i.cast("string"))).otherwise(h))
+    named = F.map_from_arrays(F.slice(own, 1, F.col("width")), F.slice("cells", 1, F.col("width")))
+    return rows.select("path", (F.col("at") - F.col("first")).alias("row_no"), named.alias("cells"))
+
+
+def _filled(column: str, blank: str | None = None) -> Column:
+    """The number of values up to the last one that is not blank."""
+    last = F.transform(column, lambda v, i: F.when(v.isNotNull() & (v != blank if blank is not None else F.lit(True)), i + 1).otherwise(0))
+    return F.array_max(last)
 
 
 CONVERTED = "pages array<string>, total bigint, totalChars bigint, avgCharsPerPage double, scannedPages array<int>, scannedShare double, usable boolean"

@@ -51,6 +51,32 @@ def scan_text_pages(t):
     return pages.select(F.regexp_extract("path", r"file_name=(\d+)/", 1).cast("bigint").alias("page_id"), F.length(body).alias("content_length"), F.md5(body).alias("digest"))
 
 
+# a CSV file per nation: three kinds of headers, quoted commas, quotes and line breaks, a cell beyond the header
+CSV_HEADS = {0: "id,name,segment", 1: "name,id", 2: 'id,"na""me",id'}
+CSV_ROWS = {0: """'{id},"a, {name}",{segment}'""", 1: """'"two' || chr(10) || 'lines {name}",{id}'""", 2: "'{id},,{segment},\"say \"\"hi\"\"\"'"}
+
+
+def _csv_row(kind):
+    return CSV_ROWS[kind].replace("{id}", "' || CAST(c_custkey AS STRING) || '").replace("{name}", "' || c_name || '").replace("{segment}", "' || c_mktsegment || '")
+
+
+@query("s2_scan_csv_rows", """
+SELECT CAST(c_nationkey AS BIGINT) AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row_no, CAST(c_custkey AS VARCHAR) AS id,
+  CASE c_nationkey % 3 WHEN 0 THEN 'a, ' || c_name WHEN 1 THEN 'two' || chr(10) || 'lines ' || c_name END AS name, CASE WHEN c_nationkey % 3 = 0 THEN c_mktsegment END AS segment,
+  CASE WHEN c_nationkey % 3 = 2 THEN c_mktsegment END AS third, CASE WHEN c_nationkey % 3 = 2 THEN 'say "hi"' END AS fourth, CASE c_nationkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 4 END AS n_cells FROM customer""")
+def scan_csv_rows(t):
+    from doctables.operators.pages import join_ordered
+    path = scratch_path(t.spark, "csv")
+    kind = F.expr("c_nationkey % 3")
+    row = F.when(kind == 0, F.expr(_csv_row(0))).when(kind == 1, F.expr(_csv_row(1))).otherwise(F.expr(_csv_row(2)))
+    head = F.when(kind == 0, CSV_HEADS[0]).when(kind == 1, CSV_HEADS[1]).otherwise(CSV_HEADS[2])
+    body = t.customer.withColumn("row", row).groupBy("c_nationkey").agg(join_ordered(["c_custkey"], "row", "\n").alias("body"))
+    sinks.write_markdown(body.select(F.col("c_nationkey").cast("string").alias("file_name"), F.concat(head, F.lit("\n"), "body").alias("markdown")), path, per_document=True)
+    rows, cell = files.scan_csv_rows(t.spark, path), lambda n: F.try_element_at("cells", F.lit(n))
+    return rows.select(F.regexp_extract("path", r"file_name=(\d+)/", 1).cast("bigint").alias("nation"), "row_no", cell("id").alias("id"), cell("name").alias("name"),
+                       cell("segment").alias("segment"), cell("_c2").alias("third"), cell("_c3").alias("fourth"), F.size("cells").alias("n_cells"))
+
+
 @query("s8_write_markdown", fx("SELECT doc_id, md5(string_agg(content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page)) AS digest FROM conv_pages GROUP BY doc_id"))
 def write_markdown(t):
     path = scratch_path(t.spark, "markdown")
@@ -78,15 +104,31 @@ def converter_errors(t):
     return files.scan_converted(raw)[1]
 
 
-@query("s4_load_catalog", fx("SELECT 'users' AS name, count(*) AS n FROM users UNION ALL SELECT 'companies', count(*) FROM companies UNION ALL SELECT 'jobs', count(*) FROM jobs"))
+CATALOG_ROWS = {
+    "users": "id || '|' || email || '|' || coalesce(first_name, '') || '|' || coalesce(company_id, '') || '|' || CAST(role AS STRING) || '|' || CAST(created_at AS STRING)",
+    "companies": "id || '|' || name",
+    "api_keys": "id || '|' || user_id || '|' || key || '|' || name",
+    "templates": "id || '|' || name || '|' || coalesce(keywords, '') || '|' || coalesce(domain, '') || '|' || CAST(created_at AS STRING)",
+    "jobs": "id || '|' || file_name || '|' || status || '|' || coalesce(template_name, '') || '|' || CAST(created_at AS STRING) || '|' || coalesce(CAST(calls AS STRING), '')",
+    "app_settings": "key || '|' || value",
+    "stats": "CAST(id AS STRING) || '|' || CAST(total_calls AS STRING) || '|' || CAST(successful AS STRING) || '|' || CAST(failed AS STRING)",
+}
+APP_SETTINGS = "SELECT 'domains.' || r_name AS key, '[\"' || r_name || '\"]' AS value FROM region"
+STATS = """SELECT CAST(1 AS BIGINT) AS id, count(*) AS total_calls, count(CASE WHEN status = 'done' THEN 1 END) AS successful,
+  count(CASE WHEN status = 'error' THEN 1 END) AS failed FROM jobs WHERE status <> 'in-progress'"""
+
+
+@query("s4_load_catalog", fx("WITH app_settings AS (" + APP_SETTINGS + "), stats AS (" + STATS + ") " + " UNION ALL ".join(
+    f"SELECT '{n}' AS name, md5({row.replace('STRING', 'VARCHAR')}) AS digest FROM {n}" for n, row in CATALOG_ROWS.items())))
 def load_catalog(t):
     folder = scratch_path(t.spark, "catalog")
-    for name in ("users", "companies", "jobs"):
-        getattr(t, name).write.parquet(f"{folder}/{name}")
-    tables = files.load_catalog(t.spark, folder, ("users", "companies", "jobs"))
+    made = {"app_settings": t.spark.sql(APP_SETTINGS.replace("FROM region", "FROM {region}"), region=t.region),
+            "stats": t.spark.sql(STATS.replace("FROM jobs", "FROM {jobs}"), jobs=t.jobs)}
+    for name in files.CATALOG:
+        (made[name] if name in made else getattr(t, name)).write.parquet(f"{folder}/{name}")
     out = None
-    for name, df in tables.items():
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    for name, df in files.load_catalog(t.spark, folder).items():
+        one = df.select(F.lit(name).alias("name"), F.md5(F.expr(CATALOG_ROWS[name])).alias("digest"))
         out = one if out is None else out.unionByName(one)
     return out
 
