@@ -160,6 +160,11 @@ def page_jobs(t):
     return J.page_jobs(J.job_cards(page, t.users))  # the join does not keep the order
 
 
+@query("l1_page_jobs_deep", fx("SELECT id, created_at FROM jobs ORDER BY created_at DESC, id LIMIT 40 OFFSET 1000"))
+def page_jobs_deep(t):
+    return J.page_jobs(t.jobs.select("id", "created_at"), 40, 1000)
+
+
 @query("l2_recent_jobs", fx("SELECT id, created_at FROM jobs ORDER BY created_at DESC, id LIMIT 25"))
 def recent_jobs(t):
     return J.recent_jobs(t.jobs.select("id", "created_at"), 25)
