@@ -102,9 +102,10 @@ def text_features(texts: pa.Array, model: Model, kept: dict[str, float]) -> np.n
     words, starts = words_of(texts)
     coded = words.dictionary_encode()
     forms = [spelled(w) for w in coded.dictionary.to_pylist()]
-    if len(kept) + len(forms) > KEPT_WORDS:
-        kept.clear()
     new = list(dict.fromkeys(f for f in forms if f not in kept))
+    if len(kept) + len(new) > KEPT_WORDS:
+        kept.clear()
+        new = list(dict.fromkeys(forms))
     for at in range(0, len(new), 20_000):
         some = new[at:at + 20_000]
         kept.update(zip(some, model.word_scores(some).tolist()))
