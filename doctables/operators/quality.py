@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -62,6 +64,13 @@ def relevant_arrays(totals: DataFrame, arrays: DataFrame) -> DataFrame:
     return matched.unionByName(rest.select("group_id", "total_path", "array_name"))
 
 
+def named_arrays(total: str, arrays: Sequence[str]) -> list[str]:
+    """:func:`relevant_arrays` of one total, for names that are configuration."""
+    def parts(name: str) -> set[str]:
+        return {p for p in re.split("[^a-z0-9]+", name.lower()) if len(p) > 2}
+    return [a for a in arrays if parts(a) & parts(total)] or list(arrays)
+
+
 def within_tolerance(total: Column, line_sum: Column) -> Column:
     diff = F.abs(total - line_sum)
     return (diff <= TOTAL_TOLERANCE) | (diff <= F.abs(line_sum) * TOTAL_SHARE)
@@ -72,15 +81,18 @@ def two_places(c: Column) -> Column:
 
 
 def totals_report(headers: DataFrame, sums: DataFrame, totals: Sequence[str], links: dict[str, Sequence[str]] | None = None,
-                  labels: dict[str, str] | None = None) -> DataFrame:
+                  labels: dict[str, str] | None = None, arrays: Sequence[str] | None = None) -> DataFrame:
     """Totals that are missing or do not agree with their line items; one row per document and total.
 
     ``sums`` comes from ``line_sums``. ``links`` names the arrays of a total; without it a total belongs to the arrays that share a
-    part of its name, else to all (see ``relevant_arrays``). A document without any item row gives no row at all.
+    part of its name, else to all (see ``relevant_arrays``). ``arrays`` names all arrays; without it they are looked up in ``sums``, which
+    are then computed twice. A document without any item row gives no row at all.
     """
     labels, links = labels or {}, links or {}
     spark = headers.sparkSession
-    free = [(0, t) for t in totals if not links.get(t)]
+    if arrays is not None:
+        links = {t: links.get(t) or named_arrays(t, arrays) for t in totals}
+    free = [(0, t) for t in totals if arrays is None and not links.get(t)]
     pairs = spark.createDataFrame([(t, a) for t in totals for a in links.get(t) or ()], "total_path string, array_name string")
     if free:
         names = sums.select(F.lit(0).alias("group_id"), "array_name").distinct()

@@ -22,7 +22,29 @@ SELECT doc_id, 'total_amount' AS total_path, status, total_value, line_sum, roun
     || ', difference ' || CAST(CAST(diff AS DECIMAL(28, 2)) AS VARCHAR) END AS message
 FROM r WHERE status IS NOT NULL"""))
 def totals_report(t):
-    return Q.totals_report(t.headers, Q.line_sums(t.items, SPECS), ["total_amount"])
+    return Q.totals_report(t.headers, Q.line_sums(t.items, SPECS), ["total_amount"], arrays=list(SPECS))
+
+
+TWO_ARRAYS = "SELECT doc_id, page, pos, CASE WHEN pos % 2 = 0 THEN 'landing_items' ELSE 'other_items' END AS array_name, net_amount FROM items"
+
+
+@query("v1_totals_of_two_arrays", fx(f"""
+WITH i AS ({TWO_ARRAYS}),
+s AS (
+  SELECT doc_id, 'total_amount' AS total_path, CAST(sum(CAST(net_amount AS DECIMAL(28, 4))) AS DOUBLE) AS line_sum, string_agg(DISTINCT array_name, ' + ' ORDER BY array_name) AS label FROM i GROUP BY doc_id
+  UNION ALL SELECT doc_id, 'landing_total', CAST(sum(CAST(net_amount AS DECIMAL(28, 4))) AS DOUBLE), 'landing_items' FROM i WHERE array_name = 'landing_items' GROUP BY doc_id),
+j AS (SELECT h.doc_id, total_path, label, CAST(total_amount AS DOUBLE) AS total_value, line_sum, abs(CAST(total_amount AS DOUBLE) - line_sum) AS diff FROM headers h JOIN s USING (doc_id)),
+r AS (SELECT *, CASE WHEN total_value IS NULL THEN 'missing' WHEN NOT (diff <= 0.02 OR diff <= abs(line_sum) * 0.001) THEN 'mismatch' END AS status FROM j)
+SELECT doc_id, total_path, status, line_sum, label FROM r WHERE status IS NOT NULL"""))
+def totals_of_two_arrays(t):
+    # one total shares a name with an array, the other belongs to both; names from the rules and from the sums agree
+    rows = t.spark.sql(TWO_ARRAYS.replace("FROM items", "FROM {items}"), items=t.items)
+    specs = {a: SPECS["line_items"] for a in ("landing_items", "other_items")}
+    headers, sums = t.headers.withColumn("landing_total", F.col("total_amount")), Q.line_sums(rows, specs)
+    given = Q.totals_report(headers, sums, ["total_amount", "landing_total"], arrays=list(specs))
+    found = Q.totals_report(headers, sums, ["total_amount", "landing_total"])
+    label = F.regexp_extract("message", r"items \(([^)]*)\)", 1).alias("label")
+    return given.intersectAll(found).select("doc_id", "total_path", "status", "line_sum", label)
 
 
 @query("v1_lines_agree_with_headers", fx("""
