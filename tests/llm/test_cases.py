@@ -98,6 +98,45 @@ def test_repeats_beside_a_shorter_partner(spark):
     assert got == expected
 
 
+def test_repeats_among_edited_copies(spark):
+    """Exactly the words of 50-word windows that stand twice, also where neighbours in either order do not share the window."""
+    from tests.llm.test_queries import repeated_words
+    rng = random.Random(7)
+    base = [[f"b{n}x{rng.randrange(400)}" for _ in range(120)] for n in range(4)]
+    rows = []
+    for doc in range(260):
+        words = []
+        for part in rng.choices(base, k=rng.randrange(1, 4)):
+            a, n = rng.randrange(60), rng.randrange(30, 70)
+            cut = [w if rng.random() > 0.03 else f"e{rng.randrange(3)}" for w in part[a:a + n]]
+            words += [f"u{doc}x{rng.random()}"] * rng.randrange(2) + cut
+        rows.append((doc, " ".join(words)))
+    rows += rows[:20] + [(d, rows[d + 1][1]) for d in range(5)]
+    # rows of one id are compared by their places, so the brute force takes each id once
+    once = {d: t for d, t in rows[:260]}
+    for frames, texts in ((rows[:260], once), (rows[:280], once)):
+        covered = {}
+        for r in repeats.repeated_passages(frame(spark, frames)).collect():
+            covered.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+        assert covered == dict(repeated_words(texts, 50))
+    assert repeats.repeated_passages(frame(spark, rows)).count() > 0
+
+
+def test_repeats_cut_into_batches(spark):
+    """What neighbours in one batch miss, the second round finds: batches of 7 rows give what one batch gives."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(90)]
+    rows = [(d, " ".join([f"l{rng.randrange(9)}"] * rng.randrange(20) + base[rng.randrange(12):][:rng.randrange(45, 70)] + [f"r{rng.randrange(9)}"] * rng.randrange(20))) for d in range(150)]
+    spans = []
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            spans.append({(r.doc_id, r.start, r.end) for r in repeats.repeated_passages(frame(spark, rows)).collect()})
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert spans[0] == spans[1] and spans[0]
+
+
 def test_decontamination_of_odd_texts(spark, odd, none, items):
     assert decontaminate.contaminated(odd, items).count() == 0
     assert decontaminate.contaminated(none, items).count() == 0
