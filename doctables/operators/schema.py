@@ -319,32 +319,52 @@ def schema_outline(fields: DataFrame) -> DataFrame:
 
 
 _INFER = """
-WITH RECURSIVE tree(source, seq, rec, path, name, depth, element, value) AS (
-  SELECT source, seq, rec, key, key, 0, FALSE, value FROM {records}, LATERAL variant_explode(parsed)
+WITH RECURSIVE tree(source, seq, rec, n, path, name, depth, element, value) AS (
+  SELECT source, seq, rec, n, key, key, 0, FALSE, value FROM {records}, LATERAL variant_explode(parsed)
   UNION ALL
-  SELECT source, seq, rec, CASE WHEN e.key IS NULL THEN path ELSE concat(path, '.', e.key) END, coalesce(e.key, name),
+  SELECT source, seq, rec, n, CASE WHEN e.key IS NULL THEN path ELSE concat(path, '.', e.key) END, coalesce(e.key, name),
     depth + CASE WHEN e.key IS NULL THEN 0 ELSE 1 END, e.key IS NULL, e.value
   FROM tree, LATERAL variant_explode(tree.value) AS e
 )
-SELECT source, seq, rec, path, name, depth, element, schema_of_variant(value) AS kind FROM tree
+SELECT source, seq, rec, n, path, name, depth, element, schema_of_variant(value) AS kind FROM tree
 """
 
 
+def _shape(parsed: Column) -> Column:
+    """The names and types of a JSON value as text, all kinds of numbers alike; names that need quotes are left as they are."""
+    kind = F.schema_of_variant(parsed)
+    return F.when(kind.contains("`"), kind).otherwise(F.regexp_replace(kind, r"(: |ARRAY<)(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))(?=[,>])", "$1NUMBER"))
+
+
 def infer_schema(records: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
     """Field rows inferred from JSON records: the first type seen wins, over all records of a source.
 
-    ``records`` has (source, seq, record); records of equal ``seq`` stand in the order of their hashes. Sources merge as in ``merge_schemas`` when ``by`` is empty.
+    ``records`` has (source, seq, record); records of equal ``seq`` stand in the order of their hashes. Sources merge as in ``merge_schemas``
+    when ``by`` is empty. ``n_records`` counts the records that have the field, with any value or null.
+
+    Records of a source with the same names and types are counted, and the first of them is taken apart, so values make no rows. Where
+    elements of one array differ in type, records stand for themselves. Null records and those that are no JSON are left out.
     """
     spark = records.sparkSession
+    # records that stand for themselves may be many
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    parsed = records.select("source", "seq", F.xxhash64("record").alias("rec"), F.try_parse_json("record").alias("parsed"))
-    nodes = spark.sql(_INFER, records=parsed)
+    rows = records.select("source", "seq", F.xxhash64("record").alias("rec"), "record")
+    shape = _shape(F.try_parse_json("record"))
+    shapes = rows.select("source", "seq", "rec", shape.alias("shape")).where("shape is not null")
+    same = shapes.groupBy("source", "shape", F.when(F.col("shape").contains("VARIANT"), F.col("rec")).alias("own")).agg(
+        F.min(F.struct("seq", "rec")).alias("_first"), F.count("*").alias("n"))
+    # two shapes can meet in one (seq, rec) only if hashes of records collide
+    same = same.groupBy("source", "_first.seq", "_first.rec").agg(F.sum("n").alias("n"))
+    equal = " AND ".join(f"r.{c} <=> s.{c}" for c in ("source", "seq", "rec"))
+    first = rows.alias("r").join(same.alias("s"), F.expr(equal)).select("r.*", "s.n").dropDuplicates(["source", "seq", "rec"])
+    nodes = spark.sql(_INFER, records=first.select("source", "seq", "rec", "n", F.try_parse_json("record").alias("parsed")))
     kind = (F.when(F.col("kind").startswith("OBJECT"), "object").when(F.col("kind").startswith("ARRAY"), "array")
             .when(F.col("kind") == "STRING", "string").when(F.col("kind") == "BOOLEAN", "boolean").when(F.col("kind") != "VOID", "number"))
-    typed = nodes.withColumn("type", kind).where(F.col("type").isNotNull())
-    path = F.lower("path")
-    fields = typed.where(~F.col("element")).groupBy(*by, path.alias("norm_path")).agg(
-        F.min(F.struct("seq", "rec", "path", "name", "depth", "type")).alias("_f"), F.count("*").alias("n_values"))
-    element = typed.where(F.col("element") & (F.col("type") != "object")).groupBy(*by, path.alias("norm_path")).agg(F.min(F.struct("seq", "rec", "type"))["type"].alias("item_type"))
+    nodes = nodes.withColumn("type", kind).withColumn("norm_path", F.lower("path"))
+    typed = F.col("type").isNotNull()
+    fields = nodes.where(~F.col("element")).groupBy("source", "seq", "rec", "norm_path").agg(
+        F.min(F.when(typed, F.struct("seq", "rec", "path", "name", "depth", "type"))).alias("_f"), F.first("n").alias("n"))
+    fields = fields.groupBy(*by, "norm_path").agg(F.min("_f").alias("_f"), F.sum("n").alias("n_records")).where(F.col("_f").isNotNull())
+    element = nodes.where(typed & F.col("element") & (F.col("type") != "object")).groupBy(*by, "norm_path").agg(F.min(F.struct("seq", "rec", "type"))["type"].alias("item_type"))
     return fields.join(element, [*by, "norm_path"], "left").select(
-        *by, "norm_path", "_f.path", "_f.name", "_f.depth", "_f.type", F.when(F.col("_f.type") == "array", F.col("item_type")).alias("item_type"), "n_values")
+        *by, "norm_path", "_f.path", "_f.name", "_f.depth", "_f.type", F.when(F.col("_f.type") == "array", F.col("item_type")).alias("item_type"), "n_records")

@@ -165,3 +165,20 @@ def infer_schema(t):
     # numbers before texts, so that the first type seen is the same in every source
     seq = F.when(F.col("record").rlike('"total":[0-9]') & F.col("record").rlike('"invoice_number":"'), F.when(F.col("record").contains('"two"'), 1).otherwise(0)).otherwise(2)
     return S.infer_schema(data.select("source", seq.alias("seq"), "record")).select("source", "path", "type", "item_type")
+
+
+@query("d13_first_type", """
+WITH o AS (SELECT o_orderpriority AS source, o_orderkey AS k, o_orderkey % 4 AS m, CASE WHEN o_orderkey % 9 = 0 THEN 'b' ELSE 'a' END AS spelled FROM orders),
+v AS (
+  SELECT source, k, 'value' AS path, CASE m WHEN 0 THEN 'number' WHEN 1 THEN 'string' WHEN 2 THEN 'boolean' END AS type, NULL AS item FROM o
+  UNION ALL SELECT source, k, 'list', CASE WHEN m <> 3 THEN 'array' END, CASE m WHEN 0 THEN 'number' WHEN 1 THEN 'boolean' END FROM o
+  UNION ALL SELECT source, k, 'list.' || spelled, CASE WHEN m = 2 THEN 'number' END, NULL FROM o WHERE m = 2),
+f AS (SELECT source, path, min_by(type, k) FILTER (WHERE type IS NOT NULL) AS type, min_by(item, k) FILTER (WHERE item IS NOT NULL) AS item, count(*) AS n_records FROM v GROUP BY source, path)
+SELECT source, path, type, CASE WHEN type = 'array' THEN item END AS item_type, CAST(n_records AS BIGINT) AS n_records FROM f WHERE type IS NOT NULL""")
+def first_type(t):
+    """The type of a field, of the elements of a list and of a field below them changes from record to record; the first one seen stays."""
+    record = F.expr("""CASE o_orderkey % 4
+      WHEN 0 THEN concat('{"value":', o_orderkey, '.5,"list":[null,1,"x"]}') WHEN 1 THEN '{"value":"v","list":[true]}'
+      WHEN 2 THEN concat('{"list":[{"', CASE WHEN o_orderkey % 9 = 0 THEN 'b' ELSE 'a' END, '":', o_orderkey, '},{}],"value":false}') ELSE '{"value":null,"list":null}' END""")
+    data = t.orders.select(F.col("o_orderpriority").alias("source"), F.col("o_orderkey").alias("seq"), record.alias("record"))
+    return S.infer_schema(data).select("source", "path", "type", "item_type", "n_records")
