@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from doctables.functions.text import let
+
 # Field types, and the name patterns of totals, line amounts, quantities and prices.
 FIELD_TYPES = ("string", "number", "array", "object", "boolean", "enum")
 CONTAINERS = ("array", "object")
@@ -330,10 +332,14 @@ SELECT source, seq, rec, n, path, name, depth, element, schema_of_variant(value)
 """
 
 
-def _shape(parsed: Column) -> Column:
-    """The names and types of a JSON value as text, all kinds of numbers alike; names that need quotes are left as they are."""
-    kind = F.schema_of_variant(parsed)
-    return F.when(kind.contains("`"), kind).otherwise(F.regexp_replace(kind, r"(: |ARRAY<)(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))(?=[,>])", "$1NUMBER"))
+def _shape(parsed: Column, own: Column) -> Column:
+    """The names and types of a JSON value as text, all kinds of numbers alike; names that need quotes are left as they are.
+
+    ``own`` follows where elements of one array differ in type.
+    """
+    numbers = r"(: |ARRAY<)(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))(?=[,>])"
+    return let(F.schema_of_variant(parsed), lambda k: F.concat(
+        F.when(k.contains("`"), k).otherwise(F.regexp_replace(k, numbers, "$1NUMBER")), F.when(k.contains("VARIANT"), own.cast("string")).otherwise("")))
 
 
 def infer_schema(records: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
@@ -349,10 +355,9 @@ def infer_schema(records: DataFrame, by: Sequence[str] = ("source",)) -> DataFra
     # records that stand for themselves may be many
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     rows = records.select("source", "seq", F.xxhash64("record").alias("rec"), "record")
-    shape = _shape(F.try_parse_json("record"))
-    shapes = rows.select("source", "seq", "rec", shape.alias("shape")).where("shape is not null")
-    same = shapes.groupBy("source", "shape", F.when(F.col("shape").contains("VARIANT"), F.col("rec")).alias("own")).agg(
-        F.min(F.struct("seq", "rec")).alias("_first"), F.count("*").alias("n"))
+    # records that are no JSON have no shape, and the one that stands for them has no fields
+    shapes = rows.select("source", "seq", "rec", _shape(F.try_parse_json("record"), F.col("rec")).alias("shape"))
+    same = shapes.groupBy("source", "shape").agg(F.min(F.struct("seq", "rec")).alias("_first"), F.count("*").alias("n"))
     # two shapes can meet in one (seq, rec) only if hashes of records collide
     same = same.groupBy("source", "_first.seq", "_first.rec").agg(F.sum("n").alias("n"))
     equal = " AND ".join(f"r.{c} <=> s.{c}" for c in ("source", "seq", "rec"))
@@ -361,10 +366,10 @@ def infer_schema(records: DataFrame, by: Sequence[str] = ("source",)) -> DataFra
     kind = (F.when(F.col("kind").startswith("OBJECT"), "object").when(F.col("kind").startswith("ARRAY"), "array")
             .when(F.col("kind") == "STRING", "string").when(F.col("kind") == "BOOLEAN", "boolean").when(F.col("kind") != "VOID", "number"))
     nodes = nodes.withColumn("type", kind).withColumn("norm_path", F.lower("path"))
-    typed = F.col("type").isNotNull()
-    fields = nodes.where(~F.col("element")).groupBy("source", "seq", "rec", "norm_path").agg(
-        F.min(F.when(typed, F.struct("seq", "rec", "path", "name", "depth", "type"))).alias("_f"), F.first("n").alias("n"))
-    fields = fields.groupBy(*by, "norm_path").agg(F.min("_f").alias("_f"), F.sum("n").alias("n_records")).where(F.col("_f").isNotNull())
-    element = nodes.where(typed & F.col("element") & (F.col("type") != "object")).groupBy(*by, "norm_path").agg(F.min(F.struct("seq", "rec", "type"))["type"].alias("item_type"))
-    return fields.join(element, [*by, "norm_path"], "left").select(
+    typed, element = F.col("type").isNotNull(), F.col("element")
+    seen = nodes.groupBy("source", "seq", "rec", "norm_path").agg(
+        F.min(F.when(typed & ~element, F.struct("seq", "rec", "path", "name", "depth", "type"))).alias("_f"), F.max("n").alias("n"),
+        F.min(F.when(typed & element & (F.col("type") != "object"), F.struct("seq", "rec", "type"))).alias("_item"))
+    fields = seen.groupBy(*by, "norm_path").agg(F.min("_f").alias("_f"), F.min("_item")["type"].alias("item_type"), F.sum("n").alias("n_records"))
+    return fields.where(F.col("_f").isNotNull()).select(
         *by, "norm_path", "_f.path", "_f.name", "_f.depth", "_f.type", F.when(F.col("_f.type") == "array", F.col("item_type")).alias("item_type"), "n_records")
