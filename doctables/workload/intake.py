@@ -12,6 +12,7 @@ from doctables.sources import files, sinks
 from doctables.streaming import jobs as ST
 from doctables.workload import query
 from doctables.workload.cleaning import RECORDS
+from doctables.workload.export import DETAILS
 from doctables.workload.fixtures import with_fixtures as fx
 from doctables.workload.quality import GC, global_counts
 
@@ -140,14 +141,15 @@ def scan_results(t):
     return files.scan_results(stored)
 
 
-@query("s7_write_details_csv", fx("SELECT doc_id, CASE WHEN currency <> '' THEN currency ELSE 'ZZZ' END AS currency, CAST(11 AS BIGINT) AS n_keys FROM headers WHERE doc_id IN (SELECT doc_id FROM items)"))
+@query("s7_write_details_csv", fx(f'SELECT doc_id, "Key" AS key, "Value" AS value FROM ({DETAILS})'))
 def write_details_csv(t):
+    """Every key and value of every document, read back."""
     from doctables.operators.export import details_table
     from doctables.workload.export import records
     path = scratch_path(t.spark, "details")
     sinks.write_details_csv(details_table(records(t)), path)
     back = t.spark.read.schema("doc_id bigint, Key string, Value string").option("header", "true").option("escape", '"').csv(path)
-    return back.groupBy("doc_id").agg(F.max(F.when(F.col("Key") == "Currency", F.col("Value"))).alias("currency"), F.count("*").alias("n_keys"))
+    return back.select("doc_id", F.col("Key").alias("key"), F.coalesce("Value", F.lit("")).alias("value"))
 
 
 @query("s9_write_jobs", fx("SELECT id, status, '{\"total\":' || CAST(total_ms AS VARCHAR) || '}' AS timing, created_at FROM jobs"))
