@@ -54,28 +54,33 @@ def judge_urls(urls: DataFrame, listed: DataFrame, keep: tuple[str, ...] = ("pag
 
     ``listed`` has ``rule`` (``host/path`` or a host alone) and ``verdict``; null rules and repeated entries are left out (of
     repeated ones the smallest verdict stays). The longest fitting rule decides, else rule is null and the verdict is
-    ``default``. Null or empty urls, and urls without ``://``, have an empty host and path. An empty list gives the default.
+    ``default``. Null or empty urls, and urls without ``://``, have an empty host and path. An empty list gives the default. A kept column
+    that has the name of a result column comes back with an underscore behind it. Urls that the filter rules out take no part in the join.
     """
+    out = [F.col(f"_keep{i}").alias(c + "_" if c.lower() in ("host", "path", "rule", "verdict") else c) for i, c in enumerate(keep)]
+    held = [f"_keep{i}" for i in range(len(keep))]
     listed = (listed.where("rule is not null").select(F.col("rule").alias("key"), "verdict").groupBy("key").agg(F.min("verdict").alias("verdict")))
     slash = F.instr("key", "/")
     host = F.when(slash > 0, F.substring("key", F.lit(1), slash - 1)).otherwise(F.col("key"))
     shapes = listed.select(F.size(F.split(host, r"\.")).alias("labels"), (F.length("key") - F.length(host)).alias("chars"))
     found = shapes.groupBy("labels", "chars").count().collect()  # bounded by labels in a host times characters in a path
     total = sum(r["count"] for r in found)
-    rows = urls.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    rows = urls.select(*(F.col(c).alias(h) for c, h in zip(keep, held)), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     if not found:
-        return rows.select(*keep, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return rows.select(*out, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     blocks = min(MAX_BLOCKS, max(1, -(-total // KEYS_PER_BLOCK)))
     bloom = bloom_literal(listed, blocks)
     shape = "array(" + ",".join(f"named_struct('l', {r.labels}, 'c', {r.chars})" for r in sorted(found)) + ")"
     keys = (f"transform(filter({shape}, s -> s.l <= size(split(host, '[.]')) and s.c <= length(path)), "
             "s -> concat(substring_index(host, '.', -s.l), substring(path, 1, s.c)))")
     test = " and ".join(f"({bloom}[{_block('k', blocks)} * {WORDS_PER_BLOCK} + {w}] & {_mask('k', w)}) = {_mask('k', w)}" for w in range(WORDS_PER_BLOCK))
-    probed = rows.select(F.monotonically_increasing_id().alias("_row"), *keep, "host", "path", F.expr(f"filter({keys}, k -> {test})").alias("_keys"))
-    joined = probed.select("_row", *keep, "host", "path", F.explode_outer("_keys").alias("key")).join(listed, "key", "left")
+    probed = rows.select(*held, "host", "path", F.expr(f"filter({keys}, k -> {test})").alias("_keys"))
+    free = probed.where(F.size("_keys") == 0).select(*out, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    asked = probed.where(F.size("_keys") > 0).withColumn("_row", F.monotonically_increasing_id())
+    joined = asked.select("_row", *held, "host", "path", F.explode("_keys").alias("key")).join(listed, "key", "left")
     best = F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.length("key").alias("n"), "key", "verdict")))
-    picked = joined.groupBy("_row").agg(*(F.first(c).alias(c) for c in (*keep, "host", "path")), best.alias("_best"))
-    return picked.select(*keep, "host", "path", F.col("_best.key").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    picked = joined.groupBy("_row").agg(*(F.first(c).alias(c) for c in (*held, "host", "path")), best.alias("_best"))
+    return free.unionByName(picked.select(*out, "host", "path", F.col("_best.key").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict")))
 
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))

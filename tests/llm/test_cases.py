@@ -411,3 +411,12 @@ def test_pipeline(spark):
     bench = [decontaminate.plain_words(pa.array([r.text]))[0] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     left = {d for d, t in single.items() if not any(decontaminate.best_match(b, decontaminate.plain_words(pa.array([t]))[0])[0] <= decontaminate.allowed(len(b)) for b in bench)}
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == left
+
+
+def test_urls_with_kept_columns_of_result_names(spark):
+    urls = spark.createDataFrame([("a", "b", "c", "d", "http://x.net/p"), ("e", None, "g", "h", "http://y.org/q"), ("e", None, "g", "h", None)], "host string, key string, rule string, verdict string, url string")
+    listed = spark.createDataFrame([("net/", "block")], "rule string, verdict string")
+    got = url_filter.judge_urls(urls, listed, keep=("host", "key", "rule", "verdict"))
+    assert got.columns == ["host_", "key", "rule_", "verdict_", "host", "path", "rule", "verdict"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        ("a", "b", "c", "d", "x.net", "/p", "net/", "block"), ("e", None, "g", "h", "y.org", "/q", None, "allow"), ("e", None, "g", "h", "", "", None, "allow")], key=str)
