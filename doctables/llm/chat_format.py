@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from doctables.functions.text import let
+
 START, NEXT, END = "<|im_start|>", "<|im_next|>", "<|im_end|>"
 CONTROL = ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
@@ -41,28 +43,59 @@ def format_chats(conversations: DataFrame, trained: tuple[str, ...] = ("assistan
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    # first turn of each block, then the block as a struct of its role and texts
+    # first turn of each block, then the block as a struct of its head and texts; turns are taken by number, since a slice copies the array
     firsts = F.expr("filter(sequence(0, size(t) - 1), i -> i = 0 or t[i].role <> t[i - 1].role)")
     turns = turns.select("conv_id", "t", firsts.alias("f"))
     blocks = F.transform(F.sequence(F.lit(0), F.size("f") - 1), lambda b: F.struct(
-        F.col("t")[F.col("f")[b]]["role"].alias("role"),
-        F.transform(F.slice(F.col("t"), F.col("f")[b] + 1, F.coalesce(F.get(F.col("f"), b + 1), F.size("t")) - F.col("f")[b]),
-                    lambda x: escape(x["text"])).alias("texts")))
+        F.concat(F.lit(START), escape_role(F.col("t")[F.col("f")[b]]["role"]), F.lit("\n")).alias("head"),
+        F.col("t")[F.col("f")[b]]["role"].isin(*trained).alias("on"),
+        F.transform(F.sequence(F.col("f")[b], F.coalesce(F.get(F.col("f"), b + 1), F.size("t")) - 1),
+                    lambda i: escape(F.col("t")[i]["text"])).alias("texts")))
     turns = turns.select("conv_id", blocks.alias("blocks"))
-    head = lambda b: F.concat(F.lit(START), escape_role(b["role"]), F.lit("\n"))
-    text = F.array_join(F.transform("blocks", lambda b: F.concat(head(b), F.array_join(b["texts"], NEXT), F.lit(END + "\n"))), "")
-    # lengths of what stands before each text, then running sums
-    steps = F.flatten(F.transform("blocks", lambda b: F.transform(b["texts"], lambda x, i: F.struct(
-        (F.when(i == 0, F.length(head(b))).otherwise(F.lit(len(NEXT)))).alias("gap"),
-        F.length(x).alias("n"),
-        F.when(i == F.size(b["texts"]) - 1, F.lit(len(END) + 1)).otherwise(F.lit(0)).alias("tail"),
-        b["role"].isin(*trained).alias("on")))))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans"))
-    mask = F.aggregate(steps, start, lambda acc, s: F.struct(
-        (acc["at"] + s["gap"] + s["n"] + s["tail"]).alias("at"),
-        F.when(s["on"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"), s["n"].alias("length"))))).otherwise(acc["spans"]).alias("spans")),
-        lambda acc: acc["spans"])
-    return turns.select("conv_id", text.alias("formatted"), mask.alias("mask"))
+    text = F.array_join(F.transform("blocks", lambda b: F.concat(b["head"], F.array_join(b["texts"], NEXT), F.lit(END + "\n"))), "")
+    # what stands before each text (its block's head or a separator, and the end of the block before), and its length
+    steps = F.flatten(F.transform("blocks", lambda b, k: F.transform(b["texts"], lambda x, i: F.struct(
+        F.when(i > 0, F.lit(len(NEXT))).otherwise(F.length(b["head"]) + F.when(k > 0, F.lit(len(END) + 1)).otherwise(F.lit(0))).alias("gap"),
+        F.length(x).alias("n"), b["on"].alias("on")))))
+
+    def mask(s: Column, ends: Column) -> Column:
+        spans = F.zip_with(s, ends, lambda step, end: F.struct((end - step["n"]).alias("start"), step["n"].alias("length"), step["on"].alias("on")))
+        return F.transform(F.filter(spans, lambda x: x["on"]), lambda x: F.struct(x["start"], x["length"]))
+
+    spans = let(steps, lambda s: mask(s, running_sums(F.transform(s, lambda x: x["gap"] + x["n"]))))
+    return turns.select("conv_id", text.alias("formatted"), spans.alias("mask"))
+
+
+# steps that are summed one after another; an array that grows by one copies itself, so none grows beyond this or the number of stretches
+STRETCH = 64
+# code points of a text that are cut off at once
+CUT = 1024
+
+
+def running_sums(numbers: Column) -> Column:
+    """Running sums of an array of integers, in stretches: sums within each, then one running sum over the stretches."""
+    def sums(a: Column) -> Column:
+        return F.aggregate(a, F.expr("cast(array() as array<int>)"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
+
+    def cut(a: Column) -> Column:
+        ends = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / STRETCH).cast("int"))
+        return F.transform(ends, lambda c: sums(F.transform(
+            F.sequence(c * STRETCH, F.least(F.size(a), (c + 1) * STRETCH) - 1), lambda i: a[i])))
+
+    def shifted(parts: Column, totals: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda p, c: F.transform(p, lambda x: x + F.when(c > 0, totals[c - 1]).otherwise(F.lit(0)))))
+
+    some = let(numbers, lambda a: F.when(F.size(a) > 0, cut(a)).otherwise(F.expr("cast(array() as array<array<int>>)")))
+    return let(some, lambda parts: let(sums(F.transform(parts, lambda p: F.element_at(p, -1))), lambda totals: shifted(parts, totals)))
+
+
+def read_spans(text: Column, spans: Column) -> Column:
+    """The pieces of a text at ``struct(start, length)`` in code points. The text is cut once, so that no piece is counted from its start."""
+    def piece(cuts: Column, s: Column) -> Column:
+        first, last = F.floor(s["start"] / CUT).cast("int"), F.floor((s["start"] + s["length"]) / CUT).cast("int")
+        near = F.array_join(F.transform(F.sequence(first, last), lambda i: F.coalesce(F.get(cuts, i), F.lit(""))), "")
+        return F.substring(near, s["start"] % CUT + 1, s["length"])
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)), lambda cuts: F.transform(spans, lambda s: piece(cuts, s)))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -72,7 +105,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         unescape(F.regexp_extract(b, _BLOCK, 1)).alias("role"),
         F.split(F.regexp_extract(b, _BLOCK, 2), r"<\|im_next\|>").alias("texts")))
     turns = F.flatten(F.transform(whole, lambda b: F.transform(b["texts"], lambda x: F.struct(b["role"].alias("role"), unescape(x).alias("text")))))
-    loss = F.array_join(F.transform("mask", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    loss = F.array_join(F.transform(read_spans(F.col("formatted"), F.col("mask")), unescape), "")
     return formatted.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), "formatted")
 
 

@@ -420,3 +420,16 @@ def test_urls_with_kept_columns_of_result_names(spark):
     assert got.columns == ["host_", "key", "rule_", "verdict_", "host", "path", "rule", "verdict"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([
         ("a", "b", "c", "d", "x.net", "/p", "net/", "block"), ("e", None, "g", "h", "y.org", "/q", None, "allow"), ("e", None, "g", "h", "", "", None, "allow")], key=str)
+
+
+def test_long_chats(spark):
+    """Many turns of one conversation, with spans and texts around every cut of the text."""
+    sizes = [0, 1, 5, chat_format.CUT - 1, chat_format.CUT, chat_format.CUT + 1, 3]
+    rows = [(c, i, "assistant" if (i // (1 + c % 3)) % 2 else "user", ("é😀<|\\"[i % 5] + "x") * sizes[(i * i + c) % 7]) for c, n in ((1, 3000), (2, 700), (3, chat_format.STRETCH), (4, chat_format.STRETCH + 1), (5, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    made = common.written(chat_format.format_chats(df), "chats")
+    for r in made.collect():
+        assert "".join(re.sub(r"(?s)\\(.)", r"\1", r.formatted[s.start:s.start + s.length]) for s in r.mask) == "".join(t for c, _, role, t in rows if c == r.conv_id and role == "assistant")
+    for r in chat_format.read_back(made).collect():
+        own = [(role, t) for c, _, role, t in rows if c == r.conv_id]
+        assert [tuple(t) for t in r.turns] == own and r.loss_text == "".join(t for role, t in own if role == "assistant")
