@@ -1,8 +1,8 @@
 """Benchmark decontamination by edit distance of words.
 
-CGK walks turn an item and each item-sized window of a text into strings of three times the length, such that few edits become few
-differing places; bit sampling looks windows up by some of those places, in as many tables as the target recall takes; every
-candidate is verified by exact edit distance. Before a window is embedded, it must hold as many ``GRAM``-word sequences of items of
+CGK walks turn an item and each item-sized window of a text into strings of twice the length, about as far as a walk reads words, such
+that few edits become few differing places; bit sampling looks windows up by some of those places, in as many tables as find
+more than 0.9 of the pairs with all allowed edits and less than 0.01 of unrelated ones; every candidate is verified by exact edit distance. Before a window is embedded, it must hold as many ``GRAM``-word sequences of items of
 its length as the edits that are allowed can leave (each changes ``GRAM`` of them), so no match is lost there and most text is
 passed over by running sums; what is left is embedded at a stride that is small against the allowed edits. The sums count sequences
 of all items of a length, so they do not tell which of two neighbours is an edited item and which another one's copy.
@@ -15,10 +15,10 @@ Items are sent to the tasks in parts of bounded size, texts never move.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +30,14 @@ from doctables.llm.common import MULTIPLIER, column, mixed, slices, window_hashe
 #: Edits (word inserted, deleted or replaced) per 100 words of an item, and the fewest words of an item that may have any.
 EDIT_PERCENT = 25
 LEAST_WORDS = 8
-#: Walks, places sampled per key, and what share of places of a window with all its edits is taken to agree.
-WALKS, SAMPLED, AGREEMENT, RECALL = 16, 2, 0.2, 0.99
+#: Walks; tables per walk and places per key go by the length of the item.
+WALKS = 16
 GRAM = 3
-TABLES = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREEMENT ** SAMPLED) / WALKS)
 #: Text of the benchmark that is sent to the tasks at once.
 PART_CHARS = 4 << 20
 MOST_SLOTS = 1 << 22
+#: Keys that are made at once.
+KEYS_AT_ONCE = 500_000
 BLOCK = 12
 
 _PLAIN = re.compile(r"[\W_]+")
@@ -81,26 +82,52 @@ def stride(words: int) -> int:
     return max(1, allowed(words) // 4)
 
 
+def steps(words: int) -> int:
+    """Steps of a walk over so many words: each reads on with one chance in two, so later ones would read padding."""
+    return 2 * words
+
+
+def sampled(words: int) -> int:
+    """Places per key. With all allowed edits, half of the places of two walks agree at 8 words and a third at 59, and a walk over few
+    words reads some of them several times, so short items take more places (tests measure recall and selectivity per length)."""
+    return 6 if words < 10 else 5 if words < 14 else 4
+
+
+def tables(words: int) -> int:
+    """Tables per walk. Walks that lost each other meet again ever more rarely, so long items take more."""
+    return max(8, -(-words // 5))
+
+
+@lru_cache(maxsize=4096)
+def places(words: int) -> np.ndarray:
+    """The sampled places (walks x tables x places), different ones in each key."""
+    rng = np.random.default_rng((11, words))
+    return np.stack([rng.choice(steps(words), sampled(words), replace=False) for _ in range(WALKS * tables(words))]).reshape(WALKS, tables(words), -1)
+
+
 def keys_of(windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The keys (windows x tables) of padded windows: CGK walks, then sampled places."""
+    """The keys (windows x tables) of padded windows: CGK walks, then sampled places. 0 stands for no key: one of padding alone, or a table that only longer windows have."""
     n, width = windows.shape
-    rng = np.random.default_rng(11)
-    out, rows = [], np.arange(n)
+    most = tables(int(lengths.max()))
+    rows, out = np.arange(n), np.zeros((n, WALKS, most), np.uint64)
     padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)
+    groups = [(int(k), np.flatnonzero(lengths == k)) for k in np.unique(lengths)]
     for walk in range(WALKS):
-        at, seen = np.zeros(n, np.int64), np.zeros((n, 3 * width), np.uint64)
-        salts = mixed(np.arange(3 * width, dtype=np.uint64) + np.uint64(1000 * (walk + 1)))
-        for j in range(3 * width):
+        at, seen = np.zeros(n, np.int64), np.zeros((n, steps(width)), np.uint64)
+        salts = mixed(np.arange(steps(width), dtype=np.uint64) + np.uint64(1000 * (walk + 1)))
+        for j in range(steps(width)):
             symbol = padded[rows, np.minimum(at, width)]
             seen[:, j] = symbol
             at = np.where(at < lengths, at + (mixed(symbol ^ salts[j]) & np.uint64(1)).astype(np.int64), at)
-        for table in range(TABLES):
-            key = np.full(n, np.uint64(walk * TABLES + table)) * MULTIPLIER + lengths.astype(np.uint64)
-            for share in rng.random(SAMPLED):
-                place = (share * 3 * lengths).astype(np.int64)
-                key = mixed(key * MULTIPLIER + seen[rows, place] + place.astype(np.uint64))
-            out.append(key)
-    return np.column_stack(out)
+        for words, own in groups:
+            drawn = places(words)[walk]
+            number = np.uint64(walk * len(drawn)) + np.arange(len(drawn), dtype=np.uint64)
+            key, some = np.tile(number * MULTIPLIER + np.uint64(words), (len(own), 1)), np.zeros((len(own), len(drawn)), bool)
+            for k in range(drawn.shape[1]):
+                read = seen[own[:, None], drawn[:, k]]
+                key, some = mixed(key * MULTIPLIER + read), some | (read != 0)
+            out[own, walk, :len(drawn)] = np.where(some, key, np.uint64(0))
+    return out.reshape(n, WALKS * most)
 
 
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -163,14 +190,15 @@ def prepare(ids: list, texts: list[str]) -> Items | None:
         order = np.argsort(hashes, kind="stable")
         short[n] = hashes[order], at[order]
     keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for at in range(0, len(long), 2000):
-        some = long[at:at + 2000]
+    size = max(1, KEYS_AT_ONCE // (WALKS * tables(int(lengths.max()))))
+    for at in range(0, len(long), size):
+        some = long[at:at + size]
         table = np.zeros((len(some), int(lengths[some].max())), np.uint64)
         for k, i in enumerate(some):
             table[k, :lengths[i]] = words[i]
         found = keys_of(table, lengths[some])
-        keys.append(found.ravel())
-        owner.append(np.repeat(some, found.shape[1]))
+        keys.append(found[found != 0])
+        owner.append(np.repeat(some, (found != 0).sum(axis=1)))
     keys, owner = np.concatenate(keys), np.concatenate(owner)
     order = np.argsort(keys, kind="stable")
     grams: dict[int, list] = {}
@@ -232,8 +260,9 @@ def find_items(texts: pa.Array, items: Items) -> list[tuple[int, int, int, int,
         return []
     found = [w for known in items.sequences for w in _promising(values, starts, known)]
     candidates: dict[tuple[int, int], list[int]] = {}
-    for at in range(0, len(found), 4000):
-        some = found[at:at + 4000]
+    size = max(1, KEYS_AT_ONCE // (WALKS * tables(max((n for _, _, n in found), default=1))))
+    for at in range(0, len(found), size):
+        some = found[at:at + size]
         lengths = np.array([n for _, _, n in some])
         table = np.zeros((len(some), int(lengths.max())), np.uint64)
         for k, (t, s, n) in enumerate(some):
@@ -274,7 +303,7 @@ def item_parts(benchmark: DataFrame, chars: int = PART_CHARS) -> Iterator[Items]
             yield items
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     """``(doc_id, item_id, distance, start, end, item_words)``: each item that a document holds, at its best place, in plain words.
 
     Distances count words without case and punctuation; at most ``EDIT_PERCENT`` edits per 100 words of the item, none in items of fewer
@@ -284,7 +313,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, distance int, start long, end long, item_words int"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for items in item_parts(benchmark):
+    for items in item_parts(benchmark, part_chars):
         sent = spark.sparkContext.broadcast(items)
 
         def search(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -299,9 +328,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item."""
-    for items in item_parts(benchmark):
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item. Repeated rows share a fate, rows without text stay, null ids are ids as any other; other columns
+    are carried along, whatever their names. Without items all rows stay; without documents there are none."""
+    for items in item_parts(benchmark, part_chars):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def clean(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

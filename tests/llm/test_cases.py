@@ -433,3 +433,53 @@ def test_long_chats(spark):
     for r in chat_format.read_back(made).collect():
         own = [(role, t) for c, _, role, t in rows if c == r.conv_id]
         assert [tuple(t) for t in r.turns] == own and r.loss_text == "".join(t for role, t in own if role == "assistant")
+
+
+def edited(words, edits, draw, rng):
+    """A window of as many words that begins with the edited words."""
+    out = list(words)
+    for _ in range(edits):
+        kind, at = rng.integers(3), int(rng.integers(len(out)))
+        out[at:at + int(kind != 1)] = list(draw(int(kind != 2)))
+    return (out + list(draw(len(words))))[:len(words)]
+
+
+@pytest.mark.parametrize("n", [8, 9, 10, 13, 14, 25, 40, 59, 100, 150, 300, 600])
+def test_tables_select(n):
+    """The tables alone, on words as frequent as in text: pairs with all allowed edits meet, unrelated ones do not."""
+    rng, pairs = np.random.default_rng(n), 600 if n < 100 else 200
+    shares = 1 / np.arange(1, 20_001)
+    draw = lambda k: (rng.choice(20_000, k, p=shares / shares.sum()) + 1).astype(np.uint64)
+    items = [draw(n) for _ in range(pairs)]
+    windows = np.stack([edited(w, decontaminate.allowed(n), draw, rng) for w in items]).astype(np.uint64)
+    lengths = np.full(pairs, n)
+    a, b = common.mixed(np.stack(items)), common.mixed(windows)
+    keys, near = decontaminate.keys_of(a, lengths), decontaminate.keys_of(b, lengths)
+    meet = lambda x, y: float(((x == y) & (x != 0)).any(axis=1).mean())
+    recall, unrelated = meet(keys, near), np.mean([meet(keys, np.roll(near, k, axis=0)) for k in range(1, 9)])
+    assert meet(keys, keys) == 1 and recall >= 0.9 and unrelated < 0.01
+
+
+def test_items_in_parts(spark):
+    """Items whose lengths agree modulo 64, sent in several parts, against edit distances of all pairs."""
+    rng = np.random.default_rng(3)
+    word = lambda k: [f"w{x}" for x in rng.integers(0, 3000, k)]
+    items = [word(n) for n in (10, 74, 138, 10, 74, 20, 20, 84, 5, 69)]
+    docs = []
+    for i, own in enumerate(items):
+        for edits in (0, decontaminate.allowed(len(own)) // 2, decontaminate.allowed(len(own)) * 2):
+            held = list(own)
+            for at in rng.choice(len(own), min(edits, len(own)), replace=False):
+                held[at] = f"edit{at}"
+            docs.append((len(docs), " ".join(word(30) + held + word(30))))
+    docs += [(900, ""), (901, None), (None, " ".join(items[1]))]
+    bench = spark.createDataFrame([(i, " ".join(w), "x") for i, w in enumerate(items)] + [(50, "", "x"), (51, None, "x"), (None, "w1 w2", "x")], "item_id long, text string, doc_id string")
+    table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("z")).withColumn("distance", F.lit(1))
+    assert len(list(decontaminate.item_parts(bench, 800))) > 2
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(table, bench, 800).collect()}
+    values = lambda t: decontaminate.plain_words(pa.array([t]))[0]
+    every = {(d, i, decontaminate.best_match(values(" ".join(w)), values(t))[0]) for d, t in docs for i, w in enumerate(items)}
+    assert got == {(d, i, k) for d, i, k in every if k <= decontaminate.allowed(len(items[i]))} and len(got) >= 20
+    kept = decontaminate.drop_contaminated(table, bench, 800)
+    assert kept.columns == table.columns
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(d) for d, _ in docs if d not in {d for d, *_ in got})
