@@ -477,7 +477,7 @@ def test_items_in_parts(spark):
     table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("z")).withColumn("distance", F.lit(1))
     assert len(list(decontaminate.item_parts(bench, 800))) > 2
     got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(table, bench, 800).collect()}
-    values = lambda t: decontaminate.plain_words(pa.array([t]))[0]
+    values = lambda t: decontaminate.plain_words(pa.array([t], pa.string()))[0]
     every = {(d, i, decontaminate.best_match(values(" ".join(w)), values(t))[0]) for d, t in docs for i, w in enumerate(items)}
     assert got == {(d, i, k) for d, i, k in every if k <= decontaminate.allowed(len(items[i]))} and len(got) >= 20
     kept = decontaminate.drop_contaminated(table, bench, 800)
