@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,25 +54,26 @@ def normalize_markdown(c: Column) -> Column:
     return F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)<br\s*/?>", " "), F.lit("**"), F.lit(""))
 
 
-# Rewrites from markdown to plain text, applied in this order.
+# Rewrites from markdown to plain text, applied in this order. The marks behind each tell which texts it can change.
 PLAIN_TEXT_REWRITES = (
-    (r"(\*\*|__)(.*?)\1", "$2"),
-    (r"(\*|_)(.*?)\1", "$2"),
-    ("#+" + WS, ""),
-    (r"\[(.*?)\]\(.*?\)", "$1"),
-    (r"!\[(.*?)\]\(.*?\)", "$1"),
-    (r"```.*?\n(?s:.*?)\n```|`.*?`", ""),
-    (r">+", ""),
-    (r"\n{2,}", "\n"),
-    (rf"\|{WS}*([^|]*?){WS}*\|", "$1"),
-    (r"-+", ""),
+    (r"(\*\*|__)(.*?)\1", "$2", ("**", "__")),
+    (r"(\*|_)(.*?)\1", "$2", ("*", "_")),
+    ("#+" + WS, "", ("#",)),
+    (r"\[(.*?)\]\(.*?\)", "$1", ("](",)),
+    (r"!\[(.*?)\]\(.*?\)", "$1", ("![",)),
+    (r"```.*?\n(?s:.*?)\n```|`.*?`", "", ("`",)),
+    (r">+", "", (">",)),
+    (r"\n{2,}", "\n", ("\n\n",)),
+    # the blanks around a cell, found without going back
+    (rf"\|{WS}*+([^|]*(?<=[^|{WS[1:-1]}]))?+{WS}*+\|", "$1", ("|",)),
+    (r"-+", "", ("-",)),
 )
 
 
 def markdown_to_text(c: Column) -> Column:
-    """Plain text of a markdown string."""
-    for pattern, replacement in PLAIN_TEXT_REWRITES:
-        c = F.regexp_replace(c, pattern, replacement)
+    """Plain text of a markdown string. A text without a rewrite's marks is not searched for its pattern."""
+    for pattern, replacement, marks in PLAIN_TEXT_REWRITES:
+        c = let(c, lambda x: F.when(reduce(or_, [x.contains(m) for m in marks]), F.regexp_replace(x, pattern, replacement)).otherwise(x))
     return trim_all(c)
 
 

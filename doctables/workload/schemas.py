@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doctables.operators import schema as S
@@ -157,6 +160,47 @@ def to_struct_type(t):
     return rows.select("doc_id", "invoice_number", "status", F.size("line_items").alias("n_items"))
 
 
+@query("d5_conform_values", """
+WITH o AS (SELECT o_orderkey AS k, lower(o_orderstatus) AS st, o_orderkey % 11 <> 0 AS good FROM orders)
+SELECT k AS doc_id, CASE WHEN good AND k % 5 = 1 THEN CAST(k AS VARCHAR) WHEN good AND k % 5 > 1 THEN 'N' || CAST(k AS VARCHAR) END AS invoice_number,
+  CASE WHEN good AND k % 3 = 1 THEN CAST(0 AS DOUBLE) WHEN good AND k % 3 = 2 THEN 12.5 END AS total, CASE WHEN good AND k % 4 <> 0 THEN st END AS status,
+  CASE WHEN NOT good OR k % 6 = 0 THEN '' ELSE '1.0,-;' || CASE WHEN k % 7 = 0 THEN '-' ELSE '2.0' END || ',-' END AS rows, CASE WHEN good AND k % 6 <> 0 THEN 'a|b' ELSE '' END AS codes FROM o""")
+def conform_values(t):
+    """Every column of every record, with the fields of nested rows; a value of another type is null and leaves its neighbours."""
+    rows = S.conform(records(t), record_schema())[0]
+    cell = lambda x: F.concat_ws(",", *[F.coalesce(x[c].cast("string"), F.lit("-")) for c in ("qty", "unit")])
+    return rows.select("doc_id", "invoice_number", "total", "status", F.array_join(F.transform("rows", cell), ";").alias("rows"), F.array_join("codes", "|").alias("codes"))
+
+
+LINES_A = "line_items:array<struct<service_date:string,quantity:double,unit_price:double,line_total:double,net_amount:double>>"
+
+
+@query("d4_struct_types", fx(f"""
+WITH c AS (SELECT min(seq) AS k, nation % 4 AS spelling FROM registry WHERE nation % 4 > 1 OR seq % 4 <> 1 GROUP BY nation % 4, seq % 2),
+n AS (SELECT count(*) AS n FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 5 <> 0)
+SELECT 'r' || CAST(k AS VARCHAR) AS template_id, CASE spelling WHEN 2 THEN 'struct<{LINES_A}>'
+  WHEN 3 THEN 'struct<invoice_number:string,total_amount:double,untyped:string,supplier:struct<name:string,grand_total:double>,line_items:array<struct<qty:double,price:double>>>'
+  ELSE 'struct<' || CASE WHEN k % 2 = 0 THEN 'invoice_number' ELSE 'Invoice_Number ' END || ':string,' || CASE k % 3 WHEN 0 THEN 'issueDate' WHEN 1 THEN 'due-date' ELSE 'period' END ||
+    ':string,total_amount:double,supplier:struct<name:string,vat_total:double,Grand_Total:double>,' ||
+    CASE WHEN k % 2 = 0 THEN '{LINES_A}' ELSE 'line_items:array<struct<quantity:double,unit_price:double,note:string>>' END || ',status:string' ||
+    CASE WHEN k % 4 = 0 THEN '' ELSE ',tags:array<string>' END || '>' END AS type,
+  CASE WHEN spelling = 3 OR (spelling < 2 AND k % 2 = 0) THEN 'invoice_number' ELSE '' END AS required,
+  CASE WHEN spelling = 3 OR (spelling < 2 AND k % 2 = 0) THEN n ELSE 0 END AS n_numbers FROM c, n"""))
+def struct_types(t):
+    """Spark types of valid templates of every spelling, two of each, and how many records have a readable number under each of them."""
+    invalid = S.validate_schemas(fields(t)).where("rule = 'type'").select("template_id")
+    valid = t.registry.join(invalid.distinct(), "template_id", "left_anti")
+    chosen = [r.template_id for r in valid.groupBy(F.col("nation") % 4, F.col("seq") % 2).agg(F.min_by("template_id", "seq").alias("template_id")).collect()]
+    own = S.prune_schemas(S.normalize_schemas(t.registry.where(F.col("template_id").isin(chosen))))
+    out = []
+    for template in chosen:
+        kind = S.to_struct_type(own, template)
+        number = F.col("invoice_number") if "invoice_number" in kind.names else F.lit(None)
+        out.append(S.conform(records(t), kind)[0].agg(F.count(number).alias("n_numbers")).select(
+            F.lit(template).alias("template_id"), F.lit(kind.simpleString()).alias("type"), F.lit(",".join(f.name for f in kind if not f.nullable)).alias("required"), "n_numbers"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("d13_infer_schema", """
 SELECT source, path, type, CASE path WHEN 'codes' THEN 'string' END AS item_type FROM (SELECT DISTINCT o_orderpriority AS source FROM orders),
   (SELECT unnest(['invoice_number', 'total', 'status', 'rows', 'rows.qty', 'codes']) AS path, unnest(['string', 'number', 'string', 'array', 'number', 'array']) AS type)""")

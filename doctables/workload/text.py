@@ -83,6 +83,16 @@ def extract_vocab(t):
                       F.coalesce(F.get("dates", F.lit(0)), F.lit("")).alias("first_date"), "time", "origin")
 
 
+@query("t6_all_dates", fx("""
+SELECT doc_id, page, pos, CASE kind WHEN 'movement' THEN date_text || '|31/12/99|15-3' WHEN 'fee' THEN '22.07|31/12/99|15-3' ELSE '31/12/99|15-3' END ||
+  CASE WHEN pos % 2 = 0 THEN '|7-11-2022' ELSE '' END AS dates FROM rendered"""))
+def all_dates(t):
+    """Lines with several dates: all of them in order, dates written without separators behind the others."""
+    line = F.concat("line", F.lit(" 31/12/99 to 15-3 "), F.when(F.col("pos") % 2 == 0, "| 07112022 |").otherwise("| 07132022 |"))
+    out = X.extract_vocab(t.rendered.select("doc_id", "page", "pos", line.alias("line")), DOMAINS["aviation"]["vocabulary"])
+    return out.select("doc_id", "page", "pos", F.array_join("dates", "|").alias("dates"))
+
+
 @query("t7_compact_dates", """
 SELECT l_orderkey AS doc_id, l_partkey, l_suppkey, CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE
   CAST(extract(day FROM l_shipdate) AS VARCHAR) || '-' || CAST(extract(month FROM l_shipdate) AS VARCHAR) || '-' || CAST(extract(year FROM l_shipdate) AS VARCHAR) END AS dates
