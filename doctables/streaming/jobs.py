@@ -7,6 +7,7 @@ order of their time, so that their rows do not depend on how the input falls int
 from __future__ import annotations
 
 import contextlib
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -37,7 +38,8 @@ class Replayed(StatefulProcessor):
     """Applies the events of a job in the order of their time, once the watermark has passed them.
 
     State: the events that wait, at most those of the last ``delay``, and one small row (``KNOWN``) per job. A job's ``deadline`` (the last
-    field, microseconds, null: none) is a moment of its own, which comes before the events after it.
+    field, microseconds, null: none) is a moment of its own, which comes before the events after it. A job has a timer for the earliest
+    event that waits, not one for each: when it goes off, all that are ripe are applied, and the next one gets the timer.
     """
 
     KNOWN = "deadline long"
@@ -45,7 +47,8 @@ class Replayed(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, kind string, cost double, calls long")
+        # the events of one arrival are one value, since every value is a message of its own
+        self.waiting = handle.getListState("waiting", "events binary")
         self.known = handle.getValueState("known", self.KNOWN)
 
     def wanted(self, kind: str) -> bool:
@@ -66,10 +69,9 @@ class Replayed(StatefulProcessor):
                 if self.wanted(kind):
                     new.append((int(us), kind, None if pd.isna(cost) else float(cost), None if pd.isna(calls) else int(calls)))
         if new:
-            self.waiting.appendList(new)
-            for us in {us // 1000 for us, *_ in new}:
-                self.handle.registerTimer(us + 1)
-        yield pd.DataFrame([], columns=self.COLUMNS)
+            self.waiting.appendList([(pickle.dumps(new),)])
+            self.handle.registerTimer(min(us for us, *_ in new) // 1000 + 1)
+        yield from ()
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Stored rows are events of their time."""
@@ -78,7 +80,8 @@ class Replayed(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.waiting.get(), key=lambda e: tuple((x is not None, x) for x in e)) if self.waiting.exists() else []
+        arrived = [e for (some,) in self.waiting.get() for e in pickle.loads(some)] if self.waiting.exists() else []
+        waiting = sorted(arrived, key=lambda e: tuple((x is not None, x) for x in e))
         ripe = [e for e in waiting if e[0] // 1000 < passed]
         known = tuple(self.known.get()) if self.known.exists() else None
         before, out = known, []
@@ -94,12 +97,17 @@ class Replayed(StatefulProcessor):
             out.extend(rows)
         reach(passed * 1000 - 1)
         if ripe:
-            self.waiting.put(rest) if (rest := [tuple(e) for e in waiting[len(ripe):]]) else self.waiting.clear()
+            if rest := waiting[len(ripe):]:
+                self.waiting.put([(pickle.dumps(rest),)])
+                self.handle.registerTimer(rest[0][0] // 1000 + 1)
+            else:
+                self.waiting.clear()
         if known != before:
             self.known.update(known) if known is not None else self.known.clear()
             if known is not None and known[-1] is not None:
                 self.handle.registerTimer(known[-1] // 1000 + 1)
-        yield pd.DataFrame(out, columns=self.COLUMNS)
+        if out:
+            yield pd.DataFrame(out, columns=self.COLUMNS)
 
     def close(self) -> None:
         pass

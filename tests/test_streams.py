@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,59 @@ def test_the_session_keeps_its_state_store(spark):
     with ST.rocksdb(spark):
         assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == ST.ROCKSDB
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+class Handle:
+    """State of one key in memory, and the timers that were asked for."""
+
+    def __init__(self):
+        self.timers, self.states = [], {}
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, Kept())
+
+    getValueState = getListState
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class Kept:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def put(self, value):
+        self.value = list(value)
+
+    update = put
+
+    def appendList(self, rows):
+        self.value = (self.value or []) + rows
+
+    def clear(self):
+        self.value = None
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_one_timer_for_all_events_of_a_job():
+    job = ST.JobState(1000)
+    job.init(Handle())
+    events = pd.DataFrame([(i * 10_000, "done" if i % 2 else "error", None, None) for i in range(500)], columns=["us", "kind", "cost", "calls"])
+    assert list(job.handleInputRows(("j",), iter([events]), Clock(0))) == []
+    assert job.handle.timers == [1]
+    first = pd.concat(job.handleExpiredTimer(("j",), Clock(2001), None))
+    assert len(first) == 201 and job.handle.timers == [1, 2011]
+    rest = pd.concat(job.handleExpiredTimer(("j",), Clock(9000), None))
+    assert len(rest) == 299 and job.handle.timers == [1, 2011] and not job.waiting.exists()
