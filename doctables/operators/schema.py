@@ -27,21 +27,22 @@ _NATIVE = """transform(from_json({source}, 'array<string>'), d -> named_struct(
 _JSON_SCHEMA = """transform(map_entries(from_json({source}, 'map<string,string>')), e -> named_struct(
   'name', e.key, 'def', e.value, 'required', array_contains(from_json({required}, 'array<string>'), e.key)))"""
 
+# outer, as the optimizer would parse the children of an inner one once more in a filter
 _WALK = """
 WITH RECURSIVE tree(template_id, seq, style, place, positions, lineage, path, norm_path, parent, name, ord, depth, def, required,
     type, under_objects, checked, root_type, indent) AS (
   SELECT template_id, seq, style, concat('schema[', pos, ']'), array(pos), CAST(array() AS ARRAY<STRING>), kid.name, lower(trim(kid.name)), CAST(NULL AS STRING),
     kid.name, pos, 0, kid.def, kid.required, coalesce(get_json_object(kid.def, '$.type'), CASE WHEN style = 'json' THEN 'string' END),
     TRUE, TRUE, coalesce(get_json_object(kid.def, '$.type'), ''), 2
-  FROM {roots} LATERAL VIEW posexplode(kids) k AS pos, kid
+  FROM {roots} LATERAL VIEW OUTER posexplode(kids) k AS pos, kid WHERE pos IS NOT NULL
   UNION ALL
   SELECT template_id, seq, style, concat(place, '.children[', pos, ']'), concat(positions, array(pos)), concat(lineage, array(place)),
     concat(path, '.', kid.name), concat(norm_path, '.', lower(trim(kid.name))), path, kid.name, pos, depth + 1, kid.def, kid.required,
     coalesce(get_json_object(kid.def, '$.type'), CASE WHEN style = 'json' THEN 'string' END),
     under_objects AND coalesce(type, '') = 'object', checked AND coalesce(type, '') IN ('array', 'object'), root_type,
     indent + CASE WHEN type = 'array' THEN 4 ELSE 2 END
-  FROM tree LATERAL VIEW posexplode(CASE WHEN style = 'native' THEN NATIVE_KIDS
-    WHEN type = 'array' AND get_json_object(def, '$.items') IS NOT NULL THEN ITEM_KIDS ELSE PROPERTY_KIDS END) k AS pos, kid
+  FROM tree LATERAL VIEW OUTER posexplode(CASE WHEN style = 'native' THEN NATIVE_KIDS
+    WHEN type = 'array' AND get_json_object(def, '$.items') IS NOT NULL THEN ITEM_KIDS ELSE PROPERTY_KIDS END) k AS pos, kid WHERE pos IS NOT NULL
 )
 SELECT * FROM tree
 """.replace("NATIVE_KIDS", _NATIVE.replace("{source}", "get_json_object(def, '$.children')")).replace(
@@ -58,7 +59,9 @@ def normalize_schemas(templates: DataFrame) -> DataFrame:
     spark = templates.sparkSession
     # a schema table of any size may be walked; the depth limit of the session stays
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    spelled = templates.select("template_id", "seq", F.trim("schema").alias("_s")).select(
+    # many schemas fit into one small file, and parsing them is the work: it is dealt out to all tasks
+    dealt = templates.select("template_id", "seq", F.trim("schema").alias("_s")).repartition(spark.sparkContext.defaultParallelism * 4)
+    spelled = dealt.select(
         "template_id", "seq", "_s", F.get_json_object("_s", "$.fields").alias("_fields"), F.get_json_object("_s", "$.properties").alias("_props"),
         (F.get_json_object("_s", "$.name").isNotNull() & F.get_json_object("_s", "$.type").isNotNull()).alias("_single"))
     is_list = F.col("_s").startswith("[")

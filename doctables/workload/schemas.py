@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doctables.operators import schema as S
+from doctables.session import stored
 from doctables.workload import query
 from doctables.workload.fixtures import with_fixtures as fx
 
@@ -191,7 +192,8 @@ def struct_types(t):
     invalid = S.validate_schemas(fields(t)).where("rule = 'type'").select("template_id")
     valid = t.registry.join(invalid.distinct(), "template_id", "left_anti")
     chosen = [r.template_id for r in valid.groupBy(F.col("nation") % 4, F.col("seq") % 2).agg(F.min_by("template_id", "seq").alias("template_id")).collect()]
-    own = S.prune_schemas(S.normalize_schemas(t.registry.where(F.col("template_id").isin(chosen))))
+    # walked and stored once, then read for each template
+    own = stored(S.prune_schemas(S.normalize_schemas(t.registry.where(F.col("template_id").isin(chosen)))), "chosen-fields")
     out = []
     for template in chosen:
         kind = S.to_struct_type(own, template)
