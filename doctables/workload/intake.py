@@ -251,7 +251,7 @@ def chain_reports(t):
 @query("st1_stream_documents", "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents")
 def stream_documents(t):
     source, out = scratch_path(t.spark, "inbox"), scratch_path(t.spark, "outbox")
-    t.documents.select("doc_id", "text").repartition(4).write.parquet(source)
+    t.documents.select("doc_id", "text").write.parquet(source)
     ST.stream_documents(t.spark, source, "doc_id bigint, text string",
                         lambda b: b.select("doc_id", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines")), out, scratch_path(t.spark, "state"))
     return t.spark.read.parquet(out).select("doc_id", "n_lines")

@@ -27,3 +27,19 @@ def test_types_are_read_from_stored_fields(spark, monkeypatch):
     monkeypatch.setattr(S, "to_struct_type", lambda fields, template: seen.append(plan(fields)) or real(fields, template))
     assert load_all()["d4_struct_types"].run(spark, "/root/testdata/sf0.001").count() == len(seen) > 1
     assert not [p for p in seen if "UnionLoop" in p]
+
+
+def test_streamed_documents_lie_in_as_many_files_as_they_have_parts(spark):
+    before = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/inbox-*"))
+    name = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "32k")
+    try:
+        out = load_all()["st1_stream_documents"].run(spark, "/root/testdata/sf0.01")
+        assert out.agg(F.count("*")).first()[0] == 1000
+        parts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").rdd.getNumPartitions()
+    finally:
+        spark.conf.set(name, old)
+    new, = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/inbox-*")) - before
+    files = glob.glob(f"{new}/part-*.parquet")
+    assert len(files) != 4 and 1 <= len(files) <= parts
