@@ -4,9 +4,13 @@ import glob
 
 from pyspark.sql import functions as F
 
+from doctables.operators import match as MT
+from doctables.operators import records as R
 from doctables.operators import schema as S
+from doctables.operators.extract import DOMAINS
 from doctables.session import shared_dir
 from doctables.workload import load_all
+from doctables.workload.fixtures import Tables
 
 
 def plan(df):
@@ -43,3 +47,28 @@ def test_streamed_documents_lie_in_as_many_files_as_they_have_parts(spark):
     new, = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/inbox-*")) - before
     files = glob.glob(f"{new}/part-*.parquet")
     assert len(files) != 4 and 1 <= len(files) <= parts
+
+
+def test_lines_of_movements_are_parsed_once(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    scanned = R.scan_movements(R.movement_lines(t.invoice_pages, DOMAINS["aviation"]))
+    assert "Generate" not in plan(scanned) and scanned.count() > 0
+
+
+def test_source_times_need_one_join_and_read_each_date_once(spark):
+    items = spark.createDataFrame([(1, 1, 1, "EK001", "02-01-2024"), (1, 1, 2, "EK001", "02-01-2024"), (2, 1, 1, "FZ9", "03-01-2024"), (3, 1, 1, None, None)],
+                                  "doc_id long, page int, pos long, flight_number string, date string")
+    pages = spark.createDataFrame([(1, 1, "| EK 001 | 2.1.2024 | 10:05 |"), (2, 1, "FZ9 3/1/2024 11:00\nFZ9 03.01.2024 12:00"), (3, 1, None)],
+                                  "doc_id long, page int, content string")
+    out = MT.source_time(items, pages)
+    assert sum("Join" in line for line in plan(out).splitlines()) == 1
+    assert [tuple(r) for r in out.collect()] == [(1, "EK001", "02-01-2024", "10:05")]
+
+
+def test_lines_of_few_keys_are_tested_where_they_are(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "EK001", "10:05", "x"), (1, "EK001", None, "x"), (1, "EK001", "11:00", "x"), (2, None, "10:05", "x")],
+                                  "doc_id long, flight_number string, time string, date string")
+    pages = spark.createDataFrame([(1, 1, "EK 001 2.1.2024 9:00\nEK 001 03.01.2024 10:05")], "doc_id long, page int, content string")
+    monkeypatch.setattr(MT, "_piece_cuts", None)
+    out = MT.fix_dates_from_source(items, pages, ["date"], "DD.MM.YYYY", "YYYY/MM/DD")
+    assert sorted((r.doc_id, r.time or "", r.date) for r in out.collect()) == [(1, "", "2024/01/02"), (1, "10:05", "2024/01/03"), (1, "11:00", "x"), (2, "10:05", "x")]
