@@ -4,6 +4,7 @@ import glob
 
 from pyspark.sql import functions as F
 
+from doctables.functions import text
 from doctables.operators import match as MT
 from doctables.operators import records as R
 from doctables.operators import schema as S
@@ -72,3 +73,19 @@ def test_lines_of_few_keys_are_tested_where_they_are(spark, monkeypatch):
     monkeypatch.setattr(MT, "_piece_cuts", None)
     out = MT.fix_dates_from_source(items, pages, ["date"], "DD.MM.YYYY", "YYYY/MM/DD")
     assert sorted((r.doc_id, r.time or "", r.date) for r in out.collect()) == [(1, "", "2024/01/02"), (1, "10:05", "2024/01/03"), (1, "11:00", "x"), (2, "10:05", "x")]
+
+
+def test_copies_of_a_document_are_joined_before_their_words_are_rows(spark):
+    docs = spark.createDataFrame([(1, "one two"), (1, "two three"), (2, None), (None, "one"), (None, "one"), (3, "")], "doc_id long, text string")
+    words = spark.createDataFrame([("one",), ("two",), ("three",), ("",), ("one",)], "word string")
+    for part_chars in (4, 100):
+        out = MT.substrings_join(docs, "text", words, "word", part_chars)
+        assert all("word" not in line for line in plan(out).splitlines() if "Aggregate" in line)
+        assert sorted((r.doc_id or 0, r.word) for r in out.collect()) == [(0, "one"), (1, "one"), (1, "three"), (1, "two")]
+
+
+def test_plain_text_of_cells(spark):
+    texts = ["| a | b |", "||", "|  a b\n|c", "|a", "a|b|c|d", "x >> y -- z", "|  |"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.markdown_to_text(F.col("t"))).collect()
+    assert [r[0] for r in rows] == ["a b |".strip(), "", "a bc", "|a", "abc|d", "x  y  z", ""]
+    assert not [p for p, _, marks in text.PLAIN_TEXT_REWRITES if marks == ("|",)]
