@@ -47,7 +47,13 @@ def tag_files(files: DataFrame, allowed: Sequence[str] = ALLOWED) -> tuple[DataF
 def scan_files(spark: SparkSession, path: str, allowed: Sequence[str] = ALLOWED) -> tuple[DataFrame, DataFrame]:
     """Files below a folder, accepted and rejected; only their names and sizes are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
-    return tag_files(files, allowed)
+    return tag_files(_in_fewer_tasks(files), allowed)
+
+
+def _in_fewer_tasks(files: DataFrame) -> DataFrame:
+    """Small files by the hundred to a task: Spark counts each as megabytes, so its own tasks read a handful and take longer to start."""
+    parts = files.rdd.getNumPartitions()
+    return files.coalesce(max(1, parts // 32, min(parts, 4 * files.sparkSession.sparkContext.defaultParallelism)))
 
 
 def scan_text_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +61,7 @@ def scan_text_pages(spark: SparkSession, path: str) -> DataFrame:
     names = ",".join("".join(f"[{c}{c.upper()}]" for c in ext) for ext in TEXT_ALLOWED)
     raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{names}}}").text(path, wholetext=True)
            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
-    return raw.select("path", text.file_stem(F.col("path")).alias("file_name"), F.lit(1).alias("page"), "content", F.length("content").alias("content_length"))
+    return _in_fewer_tasks(raw).select("path", text.file_stem(F.col("path")).alias("file_name"), F.lit(1).alias("page"), "content", F.length("content").alias("content_length"))
 
 
 def scan_csv_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import re
+from collections.abc import Iterable, Iterator
+from urllib.parse import unquote, urlsplit
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,14 +58,71 @@ def write_details_csv(details: DataFrame, path: str, bom: bool = False, per_docu
 def write_markdown(docs: DataFrame, path: str, per_document: bool = False) -> None:
     """Documents (file_name, markdown), one row each, as JSON lines in part files.
 
-    ``per_document`` writes a folder below ``path`` for each name, holding its text as a single file, for tables of few documents
-    with different names.
+    ``per_document`` writes a folder below ``path`` for each name, holding its text as a single file, for documents with different
+    names.
     """
     if not per_document:
         docs.select("file_name", "markdown").write.mode("overwrite").json(path)
         return
-    docs.select("file_name", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("file_name").option(
-        "lineSep", "\n").text(path)
+    write_files(docs.select("file_name", F.col("markdown").alias("value")), path, "text")
+
+
+def write_files(docs: DataFrame, path: str, kind: str) -> None:
+    """A folder below ``path`` for each ``file_name``, with the other columns as a file: one text column (``text``) or a JSON object (``json``).
+
+    In a mounted folder (``file:``) the tasks write the files themselves: Spark's writer starts processes there to set the rights of each
+    folder and file, and moves them one by one when the job ends. A task that runs again writes the same names, each in one step.
+    Elsewhere Spark's writer is used.
+    """
+    folder = _mounted(docs.sparkSession, path)
+    if folder is None:
+        docs.write.mode("overwrite").partitionBy("file_name").format(kind).save(path)
+        return
+    # an earlier folder goes, the mark of a finished write comes
+    docs.limit(0).write.mode("overwrite").partitionBy("file_name").format(kind).save(path)
+    rest = [c for c in docs.columns if c != "file_name"]
+    value = F.col(rest[0]) if kind == "text" else F.to_json(F.struct(*rest))
+    named = docs.select("file_name", value.cast("binary").alias("value")).sortWithinPartitions("file_name")
+    named.mapInArrow(_file_each(folder, "txt" if kind == "text" else kind), "n long").agg(F.sum("n")).collect()
+
+
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The folder that ``path`` is on every machine, or None in a store that only Spark reaches."""
+    scheme = urlsplit(path).scheme or urlsplit(spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")).scheme
+    if scheme != "file":
+        return None
+    return unquote(urlsplit(path).path) if path.startswith("file:") else path
+
+
+def _file_each(folder: str, ext: str):
+    """Write rows sorted by name; rows of one name in a task share a file."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name, rows, files = f"part-{task.partitionId():05d}.{ext}", [], 0
+        last: str | None = None
+
+        def write() -> None:
+            # as Spark names the folder of a partition
+            value = re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", last) if last else "__HIVE_DEFAULT_PARTITION__"
+            own = f"{folder}/file_name={value}"
+            os.makedirs(own, exist_ok=True)
+            with open(f"{own}/.{name}-{task.taskAttemptId()}", "wb") as f:
+                f.writelines(rows)
+            os.replace(f.name, f"{own}/{name}")
+
+        for batch in batches:
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if rows and (key or "") != (last or ""):
+                    write()
+                    files += 1
+                    rows.clear()
+                last = key
+                rows += [value or b"", b"\n"]
+        if rows:
+            write()
+            files += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([files], pa.int64())})
+    return run
 
 
 def write_jobs(jobs: DataFrame, path: str, grain: str = "day") -> None:
