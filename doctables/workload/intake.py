@@ -24,7 +24,7 @@ def scan_files(t):
     # every page as a file of its own, half of them of a kind that is not taken
     named = t.pages.select(F.col("page_id").cast("string").alias("file_name"), F.col("html").alias("markdown"), "page_id")
     sinks.write_markdown(named.where("page_id % 2 = 0"), f"{path}/texts", per_document=True)
-    named.where("page_id % 2 = 1").drop("page_id").write.partitionBy("file_name").json(f"{path}/others")
+    sinks.write_files(named.where("page_id % 2 = 1").drop("page_id"), f"{path}/others", "json")
     accepted, rejected = files.scan_files(t.spark, path)
     page = F.regexp_extract("path", r"file_name=(\d+)/", 1).cast("bigint").alias("page_id")
     # names that begin with an underscore mark finished writes
