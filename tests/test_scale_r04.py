@@ -1,10 +1,15 @@
 """The post-processing chain: what it leaves on disk, and short cuts that must give what the long way gives."""
 
 import os
+import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from doctables.functions import dates, money, text
+from doctables.operators import text as tx
+from doctables.operators.extract import DOMAINS
 from doctables.plans.post_process import Settings, run_chain
 from doctables.session import drop, passing, shared_dir, stored
 
@@ -75,3 +80,41 @@ def test_passing_tables(spark):
     assert {v for k, v in tables(spark).items() if k not in before} == {"d"} and d.count() == 3
     drop(d)
     assert tables(spark).keys() <= before.keys()
+
+
+def test_chain_makes_its_pages_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    pages = spark.createDataFrame([(d, p, PAGE) for d in range(3) for p in (1, 2)], "doc_id bigint, page int, content string").mapInArrow(seen, "doc_id bigint, page int, content string")
+    items = spark.createDataFrame([(1, "line_items", 1, 1, "EK123/A", "01.02.2024", "APT1")], "doc_id bigint, array_name string, page int, pos bigint, flight_number string, date string, airport string")
+    out = run_chain(items, pages, Settings(domain="aviation", date_columns=["date"], date_format="DD-MM-YYYY", date_input_format="DD.MM.YYYY", columns=COLUMNS, min_records=2))
+    assert {(r.flight_number, r.net_amount) for r in out["rows"].collect()} == {("EK123/A", 55.5), (None, 66.5)}
+    assert made.value == 6
+
+
+@pytest.mark.parametrize("value, shown", [("31.12.2023", "2023/12/31"), ("12/31/2023", "2023/12/31"), ("31/31/2023", "31/31/2023"), ("05-04-1000", "3000/04/05"), ("5.4.2023", "2023/04/05"),
+                                          ("00.01.2023", "00.01.2023"), ("05.04.2023\n", "2023/04/05"), ("x", "x"), (None, None)])
+def test_padded_dates(spark, value, shown):
+    got = spark.createDataFrame([(value,)], "d string").select(dates.format_date(F.col("d"), "YYYY/MM/DD", "DD.MM.YYYY").alias("d")).first().d
+    assert got == shown
+
+
+@pytest.mark.parametrize("value, amount", [("12.50", 12.5), ("1.234,5", 1234.5), ("12,50", 12.5), ("1,234", 1234.0), ("1234", 12.34), ("12,", 12.0), ("1.2.3", 1.2), ("12.5 EUR", 12.5), ("", None), (None, None)])
+def test_plain_amounts(spark, value, amount):
+    assert spark.createDataFrame([(value,)], "a string").select(money.parse_amount(F.col("a")).alias("a")).first().a == amount
+
+
+def test_white_space_class():
+    assert {c for c in map(chr, range(0x10000)) if re.match(text.WS, c)} == set(text.BLANKS)
+
+
+def test_other_vocabulary_is_searched_for_where_asked(spark):
+    lines = spark.createDataFrame([("| EK123/A | A6ABX | 01.02.2024 | 10:20 | OMAB |",), ("| Fee 01.02.2024 10:20 |",)], "line string")
+    vocab = DOMAINS["aviation"]["vocabulary"]
+    every, asked = (tx.extract_vocab(lines, vocab, c).collect() for c in (None, F.size("flights") > 0))
+    assert every[0] == asked[0] and every[1].time == "10:20" and (asked[1].dates, asked[1].time, asked[1].origin) == (None, None, None)
