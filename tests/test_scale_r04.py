@@ -1,6 +1,7 @@
 """The post-processing chain: what it leaves on disk, and short cuts that must give what the long way gives."""
 
 import os
+import random
 import re
 import time
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doctables.functions import dates, money, text
+from doctables.operators import records
 from doctables.operators import text as tx
 from doctables.operators.extract import DOMAINS
 from doctables.plans.post_process import Settings, run_chain
@@ -97,6 +99,41 @@ def test_chain_makes_its_pages_once(spark):
     assert made.value == 6
 
 
+def scanned_by_hand(rows):
+    """(doc_id, page, line_no) to arrival, departure and whether the line is at or after the first summary after a movement."""
+    out, state = {}, {}
+    for doc, page, line, summary, movement in sorted(rows, key=lambda r: r[:3]):
+        arrival, departure, moved, stopped = state.get(doc, (None, None, False, False))
+        stopped |= summary and moved
+        if movement:
+            arrival, departure, moved = movement[0] and movement or arrival, movement[1] and movement or departure, True
+        state[doc] = arrival, departure, moved, stopped
+        out[doc, page, line] = arrival, departure, stopped
+    return out
+
+
+def test_only_documents_of_several_blocks_are_summed_up(spark, monkeypatch):
+    rng, rows = random.Random(4), []
+    for doc in range(40):
+        for page in range(1, 2 if doc % 4 else 10):
+            for line in range(rng.randint(1, 6)):
+                kind = rng.choice("mmso")
+                rows.append((doc, page, line, kind == "s", (rng.choice([None, f"{line}/A"]), rng.choice([None, f"{line}/D"]), f"R{page}", "1-1", None, None) if kind == "m" else None))
+    kind = "struct<arrival:string,departure:string,reg:string,date:string,time:string,origin:string>"
+    lines = spark.createDataFrame(rows, f"doc_id bigint, page int, line_no int, summary boolean, movement {kind}")
+    tables, write = {}, records.stored
+    monkeypatch.setattr(records, "stored", lambda df, label, **more: tables.setdefault(label, write(df, label, **more)))
+    got = {(r.doc_id, r.page, r.line_no): (r.arrival and tuple(r.arrival), r.departure and tuple(r.departure), r.stopped) for r in records.scan_movements(lines, 3).collect()}
+    assert got == scanned_by_hand(rows)
+    assert {r.doc_id for r in tables["long-documents"].collect()} == set(range(0, 40, 4))
+
+
+def test_page_reports_of_a_chain(spark):
+    counts = spark.createDataFrame([(0, "line_items", 4), (1, "line_items", 3), (2, "line_items", 7)], "doc_id bigint, array_name string, counted bigint")
+    out = chain(spark, counts, per_page=True)
+    assert sorted((r.doc_id, r.expected, r.actual) for r in out["coverage"].collect()) == [(0, 4, 3), (2, 7, 3)]
+
+
 @pytest.mark.parametrize("value, shown", [("31.12.2023", "2023/12/31"), ("12/31/2023", "2023/12/31"), ("31/31/2023", "31/31/2023"), ("05-04-1000", "3000/04/05"), ("5.4.2023", "2023/04/05"),
                                           ("00.01.2023", "00.01.2023"), ("05.04.2023\n", "2023/04/05"), ("x", "x"), (None, None)])
 def test_padded_dates(spark, value, shown):
