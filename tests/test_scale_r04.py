@@ -8,20 +8,23 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from doctables import session
 from doctables.functions import dates, money, text
 from doctables.operators import records
 from doctables.operators import text as tx
 from doctables.operators.extract import DOMAINS
 from doctables.plans.post_process import Settings, run_chain
-from doctables.session import drop, passing, shared_dir, stored
+from doctables.session import drop, passing, stored
 
 COLUMNS = {"description": "string", "charges_type": "string", "flight_number": "string", "date": "string", "net_amount": "double", "airport": "string"}
 PAGE = "# Statement 2024\n| EK123/A | A6ABX | 01.02.2024 | 10:20 | OMAB | 55.50 |\n| EK124/D | A6ABX | 02.02.2024 | 11:20 | OMAB | 66.50 |"
 
 
-def tables(spark):
-    """The labels of the scratch tables."""
-    return {n: n.rsplit("-", 1)[0] for n in os.listdir(shared_dir(spark))}
+@pytest.fixture
+def tables(tmp_path, monkeypatch):
+    """Names and labels of the scratch tables, in a folder of the test's own."""
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    return lambda: {n: n.rsplit("-", 1)[0] for n in os.listdir(tmp_path)}
 
 
 def shuffle_files(spark):
@@ -37,28 +40,28 @@ def chain(spark, counts=None, **more):
     return run_chain(items, pages, Settings(domain="aviation", date_columns=["date"], date_format="DD-MM-YYYY", date_input_format="DD.MM.YYYY", columns=COLUMNS, **more), counts=counts)
 
 
-def test_chain_leaves_only_tables_that_are_read(spark):
-    before = tables(spark)
+def test_chain_leaves_only_tables_that_are_read(spark, tables):
+    before = tables()
     rows = chain(spark, per_page=True)["rows"]
-    assert {v for k, v in tables(spark).items() if k not in before} == {"movements", "records"}
+    assert {v for k, v in tables().items() if k not in before} == {"movements", "records"}
     assert sorted({(r.flight_number, r.date) for r in rows.collect()}) == [("EK123/A", "01-02-2024"), ("EK124/D", "02-02-2024"), ("EK125/A", "01-02-2024")]
-    before = tables(spark)
+    before = tables()
     counts = spark.createDataFrame([(0, "line_items", 9)], "doc_id bigint, array_name string, counted bigint")
     out = chain(spark, counts, page_limit=1)
-    assert {v for k, v in tables(spark).items() if k not in before} == {"movements", "records", "merged-pages"}
+    assert {v for k, v in tables().items() if k not in before} == {"movements", "records", "merged-pages"}
     assert [(r.doc_id, r.expected, r.actual) for r in out["coverage"].collect()] == [(0, 9, 3)] and out["rows"].count()
 
 
-def test_chain_without_dates_keeps_its_reports(spark):
-    before = tables(spark)
+def test_chain_without_dates_keeps_its_reports(spark, tables):
+    before = tables()
     counts = spark.createDataFrame([(1, "line_items", 9)], "doc_id bigint, array_name string, counted bigint")
     items = spark.createDataFrame([(1, "line_items", 1, 1, "EK123/A", "01-02-2024")], "doc_id bigint, array_name string, page int, pos bigint, flight_number string, date string")
     pages = spark.createDataFrame([(1, 1, PAGE)], "doc_id bigint, page int, content string")
     for given, left in ((counts, {"movements", "merged-pages"}), (None, {"movements"})):
         out = run_chain(items, pages, Settings(), counts=given)
-        assert {v for k, v in tables(spark).items() if k not in before} == left
+        assert {v for k, v in tables().items() if k not in before} == left
         assert out["rows"].count() == 1 and ("coverage" not in out or out["coverage"].count() == 1)
-        before = tables(spark)
+        before = tables()
 
 
 def test_stored_steps_leave_no_shuffle_files(spark):
@@ -70,18 +73,18 @@ def test_stored_steps_leave_no_shuffle_files(spark):
     assert not left and df.count() == 7
 
 
-def test_passing_tables(spark):
-    before = tables(spark)
+def test_passing_tables(spark, tables):
+    before = tables()
     with passing(spark):
         a = stored(spark.range(3), "a")
         with passing(spark):
             b = stored(a, "b", keep=True)
             stored(a, "c")
-        assert {v for k, v in tables(spark).items() if k not in before} == {"a", "b"}
+        assert {v for k, v in tables().items() if k not in before} == {"a", "b"}
         d = stored(b, "d", keep=True)
-    assert {v for k, v in tables(spark).items() if k not in before} == {"d"} and d.count() == 3
+    assert {v for k, v in tables().items() if k not in before} == {"d"} and d.count() == 3
     drop(d)
-    assert tables(spark).keys() <= before.keys()
+    assert tables().keys() <= before.keys()
 
 
 def test_chain_makes_its_pages_once(spark):
